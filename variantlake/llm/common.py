@@ -30,12 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: a cut of lineage that
     outlives executors. It is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/variantlake-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     if not _made:
         atexit.register(_clean)
     _made.append((spark, path))

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, quality_classifier, quality_rules, secret_scan, simhash
+from . import exact_dedup, language_id, packing, quality_classifier, quality_rules, secret_scan, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_digest(_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op3_quality_classifier, op5_quality_rules, op7_secret_scan, op8_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op5_quality_rules, op7_secret_scan, op8_language_id, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

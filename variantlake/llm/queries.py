@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, quality_classifier, quality_rules, secret_scan, simhash
+from . import (
+    exact_dedup,
+    language_id,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    simhash,
+    url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +40,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(_table(spark, sf_dir, "documents"))
 
@@ -38,12 +52,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op5_quality_rules, op7_secret_scan, op8_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op5_quality_rules, op6_pii_surrogates, op7_secret_scan, op8_language_id, op9_url_filter, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

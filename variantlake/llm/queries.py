@@ -15,6 +15,7 @@ from . import (
     quality_classifier,
     quality_rules,
     secret_scan,
+    sentencepiece_sampling,
     simhash,
     url_filter,
 )
@@ -36,6 +37,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_segmentation_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.sampling_digest(_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op5_quality_rules, op6_pii_surrogates, op7_secret_scan, op8_language_id, op9_url_filter, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op4_segmentation_sampling, op5_quality_rules, op6_pii_surrogates, op7_secret_scan, op8_language_id, op9_url_filter, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

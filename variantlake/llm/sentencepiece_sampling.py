@@ -10,7 +10,8 @@ at once and falls apart into disjoint rest sets, one a word. No piece crosses a
 the words' lattices are independent and a text's words are drawn together.
 
 The inclusion score is ``1 - exp(-exp(log_prob - kappa))``, kappa being the next largest
-perturbed log weight: an estimate from the sample divides by it.
+perturbed log weight: an estimate from the sample divides by it. Long texts' scores are
+too small for a double, so the logarithm is returned as well.
 
 Randomness comes from the row key alone, so results do not depend on partitions.
 
@@ -40,7 +41,7 @@ SEED = 7
 SPACE = "▁"
 #: A worker forgets its words' lattices beyond this many edges.
 MAX_EDGES = 3_000_000
-ROWS = "sample int, ids binary, n_pieces long, log_prob double, perturbed double, inclusion double"
+ROWS = "sample int, ids binary, n_pieces long, log_prob double, perturbed double, inclusion double, log_inclusion double"
 
 
 def default_model() -> str:
@@ -190,9 +191,9 @@ class Lattice:
         return tuple(path)
 
 
-def sample(lattice: Lattice, text: str | None, k: int, seed: int) -> list[tuple[np.ndarray, float, float, float]]:
+def sample(lattice: Lattice, text: str | None, k: int, seed: int) -> list[tuple[np.ndarray, float, float, float, float]]:
     """At most ``k`` distinct segmentations, the largest perturbed first: ids, log
-    probability, perturbed log probability, inclusion score."""
+    probability, perturbed log probability, inclusion score and its logarithm."""
     rng = np.random.Generator(np.random.PCG64(seed))
     words = lattice.word_ids(text or "")
     n = len(words)
@@ -243,8 +244,10 @@ def sample(lattice: Lattice, text: str | None, k: int, seed: int) -> list[tuple[
     kappa = -queue[0][0] if queue else -np.inf
     out = []
     for edges, lp, g in found:
-        score = 1.0 if np.isneginf(kappa) else float(-np.expm1(-np.exp(min(lp - kappa, 700.0))))
-        out.append((spelled(lattice, edges), lp, g, score))
+        x = min(lp - kappa, 700.0)  # infinite where nothing is left: score 1
+        score = -math.expm1(-math.exp(x))
+        log_score = x if x < -30 else math.log(score)
+        out.append((spelled(lattice, edges), lp, g, score, log_score))
     return out
 
 
@@ -265,18 +268,18 @@ def _lattice(model: str) -> Lattice:
 def sample_segmentations(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SAMPLES, seed: int = SEED, model: str | None = None
 ) -> DataFrame:
-    """``id, sample, ids, n_pieces, log_prob, perturbed, inclusion`` for every row's
+    """``id, sample, ids, n_pieces, log_prob, perturbed, inclusion, log_inclusion`` for every row's
     samples; ids are little-endian unsigned 16-bit numbers."""
     path = model or default_model()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = _lattice(path)
-        names = ["id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion"]
+        names = ["id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion", "log_inclusion"]
         for batch in batches:
             rows, held = [], 0
             for key, row_key, text in zip(batch["id"], batch["row_key"], batch["text"]):
-                for s, (ids, lp, g, q) in enumerate(sample(lattice, text, k, key_seed(row_key, seed))):
-                    rows.append((key, s, ids.tobytes(), len(ids), lp, g, q))
+                for s, (ids, lp, g, q, log_q) in enumerate(sample(lattice, text, k, key_seed(row_key, seed))):
+                    rows.append((key, s, ids.tobytes(), len(ids), lp, g, q, log_q))
                     held += 2 * len(ids)
                 if held > 8 << 20:  # a few long texts fill a batch
                     yield pd.DataFrame(rows, columns=names)
@@ -304,4 +307,4 @@ def sampling_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     path = default_model()
     crc = F.pandas_udf(lambda s: s.map(lambda x: zlib.crc32(decoded(x, path).encode("utf-8", "surrogatepass"))), "long")
     out = sample_segmentations(docs, id_col, text_col)
-    return out.select(id_col, "sample", F.crc32("ids").alias("ids_crc32"), "n_pieces", "log_prob", "inclusion", crc("ids").alias("decoded_crc32"))
+    return out.select(id_col, "sample", F.crc32("ids").alias("ids_crc32"), "n_pieces", "log_prob", "inclusion", "log_inclusion", crc("ids").alias("decoded_crc32"))

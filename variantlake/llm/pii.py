@@ -66,6 +66,11 @@ def _canonical(kind: Column, m: Column) -> Column:
     )
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _noise(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
     """128 hex digits from the key and the entity."""
     of = lambda n: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canonical, attempt.cast("string"), F.lit(str(n))), 256)
@@ -91,18 +96,21 @@ def _digits(noise: Column, canonical: Column, keep: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """The sum of a digit string whose last digit is the check digit."""
-    places = F.sequence(F.lit(1), F.length(digits))
-    doubled = lambda d, from_end: F.when(from_end % 2 == 0, d).otherwise(F.when(d > 4, 2 * d - 9).otherwise(2 * d))
-    at = lambda p: F.substring(digits, p.cast("int"), F.lit(1)).cast("int")
-    return F.aggregate(places, F.lit(0), lambda a, p: a + doubled(at(p), F.length(digits) - p))
+    last = F.length(digits) - 1
+    signs = F.transform(F.filter(F.split(digits, ""), lambda c: c != ""), lambda c: c.cast("int"))
+    doubled = lambda d: 2 * d - F.when(d > 4, 9).otherwise(0)
+    return F.aggregate(F.transform(signs, lambda d, i: F.when((last - i) % 2 == 0, d).otherwise(doubled(d))), F.lit(0), lambda a, d: a + d)
 
 
 def _card(noise: Column, canonical: Column) -> Column:
     """The first digit stays; a valid number gets a valid check digit."""
-    made = _digits(noise, canonical, F.lit(1))
-    body = F.concat(F.expr("''"), F.substring(made, F.lit(1), F.length(made) - 1))
-    check = ((10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10).cast("string")
-    return F.when(_luhn(canonical) % 10 == 0, F.concat(body, check)).otherwise(made)
+
+    def checked(made: Column) -> Column:
+        body = F.substring(made, F.lit(1), F.length(made) - 1)
+        check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
+        return F.when(_luhn(canonical) % 10 == 0, F.concat(body, check)).otherwise(made)
+
+    return _once(_digits(noise, canonical, F.lit(1)), checked)
 
 
 def _email(noise: Column, canonical: Column) -> Column:
@@ -124,29 +132,34 @@ def _name(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
     def word(w: Column, i: Column) -> Column:
         given = (F.size(words) > 1) & (i == 0)
         role = F.when(given, kind).otherwise(F.lit("surname"))
-        noise = _noise(key, role, w, attempt)
         cyrillic = w.rlike(r"\p{IsCyrillic}")
-        pick = lambda latin, other, n: F.when(cyrillic, _pick(other, noise, F.lit(n))).otherwise(_pick(latin, noise, F.lit(n)))
         consonant, vowel = ("bdfgklmnprstvz", "бвгдзклмнпрст"), ("aeiou", "аеиоу")
-        body = F.concat(*[x for n in range(0, 6, 2) for x in (pick(*consonant, n), pick(*vowel, n + 1))])
-        end = F.when(given & (kind == "name_f"), F.when(cyrillic, "на").otherwise("na")).when(given & (kind == "name_m"), pick("nrs", "нрс", 6)).otherwise(pick(*consonant, 6))
-        return F.initcap(F.concat(body, end))
+
+        def made(noise: Column) -> Column:
+            pick = lambda latin, other, n: F.when(cyrillic, _pick(other, noise, F.lit(n))).otherwise(_pick(latin, noise, F.lit(n)))
+            body = F.concat(*[x for n in range(0, 6, 2) for x in (pick(*consonant, n), pick(*vowel, n + 1))])
+            end = F.when(given & (kind == "name_f"), F.when(cyrillic, "на").otherwise("na")).when(given & (kind == "name_m"), pick("nrs", "нрс", 6)).otherwise(pick(*consonant, 6))
+            return F.initcap(F.concat(body, end))
+
+        return _once(_noise(key, role, w, attempt), made)
 
     return F.array_join(F.transform(words, word), " ")
 
 
 def _surrogate(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
-    noise = _noise(key, kind, canonical, attempt)
-    octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(noise, i) % 254 + 1).cast("string"))
-    return (
-        F.when(kind == "email", _email(noise, canonical))
-        .when(kind == "ip", F.array_join(octets, "."))
-        .when(kind == "iban", _iban(noise, canonical))
-        .when(kind.startswith("name"), _name(key, kind, canonical, attempt))
-        .when(kind == "phone", _digits(noise, canonical, F.greatest(F.length(canonical) - 10, F.lit(0))))
-        .when(kind == "card", _card(noise, canonical))
-        .otherwise(_digits(noise, canonical, F.lit(0)))
-    )
+    def made(noise: Column) -> Column:
+        octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(noise, i) % 254 + 1).cast("string"))
+        return (
+            F.when(kind == "email", _email(noise, canonical))
+            .when(kind == "ip", F.array_join(octets, "."))
+            .when(kind == "iban", _iban(noise, canonical))
+            .when(kind.startswith("name"), _name(key, kind, canonical, attempt))
+            .when(kind == "phone", _digits(noise, canonical, F.greatest(F.length(canonical) - 10, F.lit(0))))
+            .when(kind == "card", _card(noise, canonical))
+            .otherwise(_digits(noise, canonical, F.lit(0)))
+        )
+
+    return _once(_noise(key, kind, canonical, attempt), made)
 
 
 def _spelled(kind: Column, m: Column, surrogate: Column) -> Column:

@@ -202,7 +202,12 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each class: the one with the smallest id, all columns."""
-    kept = written(simhash(docs, id_col, text_col).select("component_id").distinct(), "kept_ids")
+    return rows_with_ids(docs, simhash(docs, id_col, text_col), id_col)
+
+
+def rows_with_ids(docs: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """One row of ``docs`` for each ``component_id`` of ``classes``, all columns."""
+    kept = written(classes.select("component_id").distinct(), "kept_ids")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
     joined = rows.join(kept, rows.id.eqNullSafe(kept.component_id)).select("row", "component_id")
     nth = F.row_number().over(Window.partitionBy("component_id").orderBy(F.lit(1)))

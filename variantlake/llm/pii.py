@@ -29,7 +29,8 @@ MAX_ROUNDS = 50
 FEMALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Signora|г-жа|госпожа"
 MALE = "Mr|Herr|Monsieur|Señor|Signor|г-н|господин"
 NEUTRAL = "Dr|Prof"
-EMAIL = r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+SIGN = r"\p{L}\p{M}\p{N}"  # of a word, in every script
+EMAIL = rf"(?<![{SIGN}_.%+-])[{SIGN}_.%+-]++@[{SIGN}-]+(?:\.[{SIGN}-]+)*\.(?:[A-Za-z]{{2,}}|[\p{{L}}\p{{M}}]{{2,}})"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)"
 NATIONAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -117,7 +118,7 @@ def _email(noise: Column, canonical: Column) -> Column:
     """Letters for letters, digits for digits; the top-level domain stays."""
     fixed = F.length(canonical) - F.length(F.substring_index(canonical, ".", -1))
     letter = lambda c, i: F.when(c.rlike(r"\p{IsCyrillic}"), _pick("абвгдежзиклмнопрстуфхцчшэюя", noise, i)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", noise, i))
-    return _chars(canonical, lambda c, i: F.when(i >= fixed, c).when(c.rlike(r"\d"), _pick("0123456789", noise, i)).when(c.rlike(r"\p{L}"), letter(c, i)).otherwise(c))
+    return _chars(canonical, lambda c, i: F.when(i >= fixed, c).when(c.rlike(r"\p{N}"), _pick("0123456789", noise, i)).when(c.rlike(r"\p{L}"), letter(c, i)).otherwise(c))
 
 
 def _iban(noise: Column, canonical: Column) -> Column:

@@ -21,3 +21,21 @@ def test_addresses_of_every_script(spark):
         assert made.rsplit(".", 1)[1] == old.rsplit(".", 1)[1] and len(made) == len(old)
     assert re.fullmatch(r"[а-яё]{4}@[a-z]{4}\.ru", new[3]) and re.fullmatch(r"[а-яё]{4}@[а-яё]{5}\.рф", new[4])
     assert out[-1].lower() == f"an {new[0]}!"
+
+
+def test_people_mentioned_again(spark):
+    out = replaced(
+        spark,
+        "Then Anna Smith came. Mrs Anna Smith wrote; ANNA SMITH said so, and Smith's car, Anna, Smithson, smith, X-Smith.",
+        "Dr Anna Smith and Prof. Dr. Anna Smith's dog and Mrs Jones",
+        "Anna Smith is not named with a title here",
+        "Herr Dr. Jürgen Groß, Groß; г-жа Анна Иванова, Иванова",
+        "Mr Kim Lee and Mrs Kim Lee",
+    )
+    given, last = re.match(r"Then (\w+) (\w+) came", out[0]).groups()
+    assert given.endswith("na") and {given, last}.isdisjoint({"Anna", "Smith"})
+    assert out[0] == f"Then {given} {last} came. Mrs {given} {last} wrote; {given} {last} said so, and {last}'s car, {given}, Smithson, smith, X-Smith."
+    assert re.fullmatch(rf"Dr {given} {last} and Prof\. Dr\. {given} {last}'s dog and Mrs \w+", out[1]) and "Jones" not in out[1]
+    assert out[2] == "Anna Smith is not named with a title here"
+    assert re.fullmatch(r"Herr Dr\. [A-Z]\w+[nrs] ([A-Z]\w+), \1; г-жа [А-Я][а-я]+на ([А-Я][а-я]+), \2", out[3])
+    assert re.fullmatch(r"Mr (\w+ \w+) and Mrs \1", out[4])

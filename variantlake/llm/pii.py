@@ -1,7 +1,8 @@
 """Surrogates for personal data, with DataFrame functions only.
 
 Entities (e-mail and IP addresses, telephone, card and account numbers, national
-numbers, names after a form of address) are found by one expression. Each distinct
+numbers, names after a form of address) are found by one expression; a name found so is
+then found in the rest of its text without its title too, whole or by one word. Each distinct
 entity, in a canonical form that its spellings share, gets one surrogate from a keyed
 hash: same type, length classes and punctuation; card numbers keep their check digit's
 validity, names keep gender and script. Surrogates are checked against each other and
@@ -36,7 +37,9 @@ IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!
 NATIONAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<!\w)\d{4}(?:[\x20-]\d{4}){2}[\x20-]\d{1,7}(?!\w)|(?<!\w)\d{13,19}(?!\w)"
 PHONE = r"(?<![\w+])\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]\d{2,4}){1,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)|(?<!\w)\(\d{3}\)\x20?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
-NAME = rf"(?<!\p{{L}})(?:{FEMALE}|{MALE}|{NEUTRAL})\.?\x20\p{{Lu}}[\p{{L}}'’-]+(?:\x20\p{{Lu}}[\p{{L}}'’-]+)?"
+TITLES = rf"(?:(?:{FEMALE}|{MALE}|{NEUTRAL})\.?\x20)"
+WORD = r"\p{Lu}(?:['’-]?[\p{L}\p{M}]{2,}|[\p{L}\p{M}])(?:['’-][\p{L}\p{M}]{2,})*"
+NAME = rf"(?<!\p{{L}}){TITLES}++{WORD}(?:\x20{WORD})?"
 #: Entities of a group share their first signs, which decide whether it is tried.
 PATTERN = rf"{EMAIL}|(?=[0-9+(])(?:{IP}|{NATIONAL}|{PHONE}|{CARD})|(?=[A-Zг])(?:{IBAN}|{NAME})"
 DIGIT_KINDS = ("phone", "card", "national")
@@ -48,21 +51,25 @@ def _kind(m: Column) -> Column:
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "national")
-        .when(m.rlike(rf"^({FEMALE})\.?\x20"), "name_f")
-        .when(m.rlike(rf"^({MALE})\.?\x20"), "name_m")
+        .when(m.rlike(rf"^(?:(?:{NEUTRAL})\.?\x20)*(?:{FEMALE})\.?\x20"), "name_f")
+        .when(m.rlike(rf"^(?:(?:{NEUTRAL})\.?\x20)*(?:{MALE})\.?\x20"), "name_m")
         .when(m.rlike(r"^\p{L}"), "name")
         .when(m.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]"), "phone")
         .otherwise("card")
     )
 
 
+def _untitled(m: Column) -> Column:
+    return F.regexp_replace(m, f"^{TITLES}+", "")
+
+
 def _canonical(kind: Column, m: Column) -> Column:
     """What all spellings of an entity share."""
     return (
         F.when(kind == "email", F.lower(m))
         .when(kind == "ip", m)
         .when(kind == "iban", F.replace(m, F.lit(" "), F.lit("")))
-        .when(kind.startswith("name"), F.lower(F.regexp_replace(m, r"^\S+\x20", "")))
+        .when(kind.startswith("name"), F.lower(_untitled(m)))
         .otherwise(F.regexp_replace(m, r"\D", ""))
     )
 
@@ -125,21 +132,21 @@ def _iban(noise: Column, canonical: Column) -> Column:
     return _chars(canonical, lambda c, i: F.when(i < 2, c).when(c.rlike(r"\d"), _pick("0123456789", noise, i)).otherwise(_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", noise, i)))
 
 
-def _name(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
+def _name(key: str, gender: Column, canonical: Column, attempt: Column) -> Column:
     """Each word of a name by itself, so that a surname alone reads as it does after
-    a given name. A given name's ending shows its gender."""
+    a given name. A given name's ending shows its gender, if it is known."""
     words = F.split(canonical, " ")
 
     def word(w: Column, i: Column) -> Column:
         given = (F.size(words) > 1) & (i == 0)
-        role = F.when(given, kind).otherwise(F.lit("surname"))
+        role = F.when(given, "given").otherwise("surname")
         cyrillic = w.rlike(r"\p{IsCyrillic}")
         consonant, vowel = ("bdfgklmnprstvz", "бвгдзклмнпрст"), ("aeiou", "аеиоу")
 
         def made(noise: Column) -> Column:
             pick = lambda latin, other, n: F.when(cyrillic, _pick(other, noise, F.lit(n))).otherwise(_pick(latin, noise, F.lit(n)))
             body = F.concat(*[x for n in range(0, 6, 2) for x in (pick(*consonant, n), pick(*vowel, n + 1))])
-            end = F.when(given & (kind == "name_f"), F.when(cyrillic, "на").otherwise("na")).when(given & (kind == "name_m"), pick("nrs", "нрс", 6)).otherwise(pick(*consonant, 6))
+            end = F.when(given & (gender == "f"), F.when(cyrillic, "на").otherwise("na")).when(given & (gender == "m"), pick("nrs", "нрс", 6)).otherwise(pick(*consonant, 6))
             return F.initcap(F.concat(body, end))
 
         return _once(_noise(key, role, w, attempt), made)
@@ -147,14 +154,14 @@ def _name(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(words, word), " ")
 
 
-def _surrogate(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
+def _surrogate(key: str, kind: Column, gender: Column, canonical: Column, attempt: Column) -> Column:
     def made(noise: Column) -> Column:
         octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(noise, i) % 254 + 1).cast("string"))
         return (
             F.when(kind == "email", _email(noise, canonical))
             .when(kind == "ip", F.array_join(octets, "."))
             .when(kind == "iban", _iban(noise, canonical))
-            .when(kind.startswith("name"), _name(key, kind, canonical, attempt))
+            .when(kind == "name", _name(key, gender, canonical, attempt))
             .when(kind == "phone", _digits(noise, canonical, F.greatest(F.length(canonical) - 10, F.lit(0))))
             .when(kind == "card", _card(noise, canonical))
             .otherwise(_digits(noise, canonical, F.lit(0)))
@@ -169,18 +176,19 @@ def _spelled(kind: Column, m: Column, surrogate: Column) -> Column:
     signs = F.filter(F.split(surrogate, ""), lambda c: c != "")
     filled = F.array_join(F.zip_with(blanks, signs, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
     cased = _chars(surrogate, lambda c, i: F.when(F.substring(m, (i + 1).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
-    title = F.concat(F.regexp_extract(m, r"^\S+\x20", 0), surrogate)
+    title = F.concat(F.regexp_extract(m, f"^{TITLES}*", 0), surrogate)
     return F.when(kind == "email", cased).when(kind == "ip", surrogate).when(kind.startswith("name"), title).otherwise(filled)
 
 
 def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``kind, canonical, surrogate`` for distinct ``kind, canonical``: distinct, and none a
-    real entity. Of those that want one surrogate the smallest gets it; the others try
+    real entity. A column ``gender`` (f, m or null) gives names their ending. Of those that want one surrogate the smallest gets it; the others try
     again with the next attempt."""
     real = entities.select("kind", F.col("canonical").alias("surrogate"))
-    waiting, done = entities.withColumn("attempt", F.lit(0)), None
+    gender = F.col("gender") if "gender" in entities.columns else F.lit(None).cast("string")
+    waiting, done = entities.withColumn("gender", gender).withColumn("attempt", F.lit(0)), None
     for _ in range(MAX_ROUNDS):
-        tried = waiting.withColumn("surrogate", _surrogate(key, F.col("kind"), F.col("canonical"), F.col("attempt")))
+        tried = waiting.withColumn("surrogate", _surrogate(key, F.col("kind"), F.col("gender"), F.col("canonical"), F.col("attempt")))
         taken = real if done is None else real.unionByName(done.select("kind", "surrogate"))
         free = tried.join(taken.withColumn("surrogate", F.col("surrogate")), ["kind", "surrogate"], "left_anti")
         won = free.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
@@ -191,37 +199,67 @@ def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
 
 
+def _names(found: Column) -> Column:
+    """The names among a text's mentions, as spelled there without their titles."""
+    return F.array_distinct(F.transform(F.filter(found, lambda m: m.rlike(rf"^{TITLES}+\p{{Lu}}")), _untitled))
+
+
+def _pattern(names: Column) -> Column:
+    """``PATTERN``, and these names and their words where they stand without a title."""
+    words = F.array_distinct(F.flatten(F.transform(names, lambda n: F.split(n, " "))))
+    both = F.array_join(F.concat(F.filter(names, lambda n: n.contains(" ")), words), "|")
+    before, after = rf"(?<![{SIGN}_])(?<!\p{{L}}[-'’])(?=\p{{Lu}})(?iu:", rf")(?![{SIGN}_]|-\p{{L}})"
+    return F.when(F.size(names) > 0, F.concat(F.lit(f"{PATTERN}|{before}"), both, F.lit(after))).otherwise(PATTERN)
+
+
+def _owner(canonical: Column, names: Column) -> Column:
+    """The first name of a text that a mention repeats in whole, else in one word."""
+    lower = F.transform(names, F.lower)
+    part = F.get(F.filter(lower, lambda n: F.array_contains(F.split(n, " "), canonical)), F.lit(0))
+    return F.when(F.array_contains(lower, canonical), canonical).otherwise(F.coalesce(part, canonical))
+
+
 def replacements(found: DataFrame, key: str = KEY) -> DataFrame:
-    """``h, spelled, kinds``: for each text with an entity (``h``, its SHA-256, and
-    ``found``, its mentions) the replacements in order and their kinds."""
-    found = written(found.groupBy("h").agg(F.first("found").alias("found")), "mentions")
-    mentions = found.select("h", F.posexplode("found").alias("at", "mention")).withColumn("kind", _kind(F.col("mention")))
-    mentions = mentions.withColumn("canonical", _canonical(F.col("kind"), F.col("mention")))
-    known = assign_surrogates(written(mentions.select("kind", "canonical").distinct(), "entities"), key)
-    spelled = mentions.join(known, ["kind", "canonical"]).select("h", "at", "kind", _spelled(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("new"))
-    listed = spelled.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", "new", "kind"))).alias("l"))
-    return written(listed.select("h", F.col("l.new").alias("spelled"), F.col("l.kind").alias("kinds")), "replacements")
-
-
-def _replaced(text: Column, spelled: Column) -> Column:
-    gaps = F.split(text, PATTERN, -1)
+    """``h, spelled, kinds``: for each text with an entity (``h``, its SHA-256,
+    ``names``, those it gives with a title, and ``found``, its mentions) the
+    replacements in order and their kinds. A name is one entity whatever its titles;
+    its gender is what titles say, unless they disagree."""
+    found = written(found.groupBy("h").agg(F.first("found").alias("found"), F.first("names").alias("names")), "mentions")
+    mentions = found.select("h", "names", F.posexplode("found").alias("at", "mention")).withColumn("said", _kind(F.col("mention")))
+    mentions = mentions.withColumn("canonical", _canonical(F.col("said"), F.col("mention")))
+    named = F.col("said").startswith("name")
+    mentions = mentions.withColumn("kind", F.when(named, "name").otherwise(F.col("said"))).withColumn("own", F.col("canonical"))
+    mentions = mentions.withColumn("canonical", F.when(named, _owner(F.col("own"), F.col("names"))).otherwise(F.col("own")))
+    female, male = F.bool_or(F.col("said") == "name_f"), F.bool_or(F.col("said") == "name_m")
+    gender = F.when(female & ~male, "f").when(male & ~female, "m").alias("gender")
+    known = assign_surrogates(written(mentions.groupBy("kind", "canonical").agg(gender), "entities"), key)
+    nth = F.array_position(F.split("canonical", " "), F.col("own")).cast("int")
+    surrogate = F.when(named & (F.col("own") != F.col("canonical")), F.get(F.split("surrogate", " "), nth - 1)).otherwise(F.col("surrogate"))
+    spelled = mentions.join(known, ["kind", "canonical"]).select("h", "at", "said", _spelled(F.col("said"), F.col("mention"), surrogate).alias("new"))
+    listed = spelled.groupBy("h").agg(F.array_sort(F.collect_list(F.struct("at", "new", "said"))).alias("l"))
+    return written(listed.select("h", F.col("l.new").alias("spelled"), F.col("l.said").alias("kinds")), "replacements")
+
+
+def _replaced(text: Column, names: Column, spelled: Column) -> Column:
+    gaps = F.when(F.size(names) > 0, F.split(text, _pattern(names), -1)).otherwise(F.split(text, PATTERN, -1))
     return F.array_join(F.zip_with(gaps, spelled, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
     """All rows and columns of ``docs`` with surrogates in ``text_col``, in a struct
-    ``row``, and the kinds replaced, in ``kinds``. Every text is searched once: rows
-    are written with their mentions."""
+    ``row``, and the kinds replaced, in ``kinds``. Rows are written with their
+    mentions; only texts with a name are searched again, for its other mentions."""
     text = F.col(text_col).cast("string")
     row = F.struct(*[(text if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns]).alias("row")
     mentions = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("found")
     scanned = written(docs.select(row, mentions), "scanned")
     some = F.coalesce(F.size("found"), F.lit(0)) > 0
     text = F.col("row").getField(text_col)
-    dirty = scanned.filter(some).withColumn("h", F.sha2(text, 256))
-    new = replacements(dirty.select("h", "found"), key)
+    dirty = scanned.filter(some).withColumn("h", F.sha2(text, 256)).withColumn("names", _names(F.col("found")))
+    again = F.regexp_extract_all(text, _pattern(F.col("names")), F.lit(0))
+    new = replacements(dirty.select("h", "names", F.when(F.size("names") > 0, again).otherwise(F.col("found")).alias("found")), key)
     clean = scanned.filter(~some).select("row", F.array().cast("array<string>").alias("kinds"))
-    met = dirty.join(new, "h").select(F.col("row").withField(text_col, _replaced(text, F.col("spelled"))).alias("row"), "kinds")
+    met = dirty.join(new, "h").select(F.col("row").withField(text_col, _replaced(text, F.col("names"), F.col("spelled"))).alias("row"), "kinds")
     return clean.unionByName(met)
 
 

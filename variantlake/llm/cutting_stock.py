@@ -29,6 +29,25 @@ def best_pattern(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
+def times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    return (matrix * vector).sum(axis=1)
+
+
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with partial pivoting. In numpy's own loops: beside a
+    live session the threads of its linear algebra library may never return."""
+    n = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        pivot = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        both -= np.outer(factors, both[k])
+    return both[:, n:]
+
+
 def solve(demand: np.ndarray, capacity: int, gap: float = 2e-3, max_rounds: int = 2_000) -> list[tuple[np.ndarray, float]]:
     """Patterns and how often each is used in the linear relaxation; together they meet
     ``demand`` exactly. Revised simplex; knapsack prices the columns. A best column
@@ -41,7 +60,7 @@ def solve(demand: np.ndarray, capacity: int, gap: float = 2e-3, max_rounds: int
     basis = np.zeros((len(at), len(at)))  # a pattern per column, classes in use only
     np.fill_diagonal(basis, capacity // (at + 1))
     inverse = np.diag(1 / np.diag(basis))
-    x = inverse @ d
+    x = times(inverse, d)
     for turn in range(max_rounds):
         dual = inverse.sum(axis=0)
         values = np.zeros(len(demand))
@@ -50,7 +69,7 @@ def solve(demand: np.ndarray, capacity: int, gap: float = 2e-3, max_rounds: int
         if worth <= 1 + gap:
             break
         column = pattern[at].astype(float)
-        u = inverse @ column
+        u = times(inverse, column)
         up = u > 1e-9
         ratio = np.full(len(u), np.inf)
         ratio[up] = np.maximum(x[up], 0) / u[up]
@@ -62,8 +81,8 @@ def solve(demand: np.ndarray, capacity: int, gap: float = 2e-3, max_rounds: int
         x -= ratio[out] * u
         x[out] = ratio[out]
         if turn % 200 == 199:
-            inverse = np.linalg.inv(basis)
-            x = inverse @ d
+            inverse = inverted(basis)
+            x = times(inverse, d)
     out_plan = []
     for k in range(len(at)):
         pattern = np.zeros(len(demand), int)

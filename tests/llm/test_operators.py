@@ -1,7 +1,6 @@
 """The corpus operators against brute force, on small tables with odd rows."""
 
 import collections
-import math
 import re
 import zlib
 
@@ -9,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from variantlake.llm import exact_dedup, language_id, packing, pii, quality_classifier, quality_rules, secret_scan, sentencepiece_sampling as sps, simhash, url_filter
+from variantlake.llm import exact_dedup, language_id, packing, pii, quality_classifier, quality_rules, secret_scan, simhash, url_filter
 from variantlake.llm.common import fold
 
 DIR = "/root/testdata/sf0.001"
@@ -143,48 +142,6 @@ def test_packing(docs, real, empty):
     assert packing.packing_digest(empty).count() == 0
 
 
-def test_segmentation_round_trip(docs, empty):
-    rows = {r.doc_id: r.text or "" for r in docs.collect()}
-    out = sps.decode(sps.sample_segmentations(docs.dropDuplicates(["doc_id"]), k=3), to="decoded").collect()
-    assert {r.doc_id for r in out} == set(rows)
-    assert all(r.decoded == rows[r.doc_id] for r in out)
-    assert len({(r.doc_id, bytes(r.ids)) for r in out}) == len(out)
-    assert all(0 <= r.inclusion <= 1 and math.isfinite(r.log_inclusion) and r.log_inclusion <= 0 and r.log_prob <= 1e-6 for r in out)
-    assert sps.sampling_digest(empty).count() == 0
-
-
-def test_segmentation_distribution():
-    lattice = sps.Lattice(sps.default_model())
-    words = lattice.word_ids("ab ab")
-
-    def paths(node, lp):
-        if node < 0:
-            return [((), lp)]
-        return [((e, *p), q) for e in lattice._out(node) for p, q in paths(int(lattice.to[e]), lp + float(lattice.lp[e]))]
-
-    weight = {sps.spelled(lattice, np.array(a + b)).tobytes(): p + q for a, p in paths(int(lattice.start[words[0]]), 0.0) for b, q in paths(int(lattice.start[words[1]]), 0.0)}
-    total = np.logaddexp.reduce(list(weight.values()))
-    prob = {k: math.exp(v - total) for k, v in weight.items()}
-    assert len(sps.sample(lattice, "ab ab", 100, 1)) == len(prob)
-    n, first, pairs, estimate = 6000, collections.Counter(), collections.Counter(), collections.Counter()
-    for s in range(n):
-        r = sps.sample(lattice, "ab ab", 3, s)
-        a, b = r[0][0].tobytes(), r[1][0].tobytes()
-        first[a] += 1
-        pairs[a, b] += 1
-        for ids, lp, _, q, _ in r:
-            assert lp == pytest.approx(math.log(prob[ids.tobytes()]))
-            estimate[ids.tobytes()] += math.exp(lp) / q
-    for a in prob:
-        assert abs(first[a] / n - prob[a]) < 5 * math.sqrt(prob[a] / n) + 1e-3
-        if prob[a] > 0.01:
-            assert estimate[a] / n == pytest.approx(prob[a], abs=0.08)
-        for b in prob:
-            if a != b:
-                p = prob[a] * prob[b] / (1 - prob[a])
-                assert abs(pairs[a, b] / n - p) < 5 * math.sqrt(p / n) + 1e-3
-
-
 def test_secret_base(docs, real):
     for df in (docs, real):
         got = {r.doc_id: r for r in secret_scan.secret_digest(df).collect()}

@@ -6,8 +6,9 @@ import atexit
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +77,18 @@ def crc32_words(ids: Iterable[int]) -> int:
     import numpy as np
 
     return zlib.crc32(np.asarray(ids, dtype="<u4").tobytes())
+
+
+def steps(batch: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of ``column``; at least a row each."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    cuts = np.unique(np.searchsorted(total, np.arange(size, (total[-1] if len(total) else 0) + size, size)) + 1)
+    start = 0
+    for end in cuts.tolist():
+        yield batch.slice(start, end - start)
+        start = end
+    if start < batch.num_rows:
+        yield batch.slice(start)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import cutting_stock
-from .common import written
+from .common import steps, written
 from .pieces import ragged
 
 LENGTH = 4096
@@ -136,25 +136,13 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
-def steps(batch: pa.RecordBatch, column: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """A batch in slices of about ``size`` bytes of ``column``; at least a row each."""
-    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
-    cuts = np.unique(np.searchsorted(total, np.arange(size, (total[-1] if len(total) else 0) + size, size)) + 1)
-    start = 0
-    for end in cuts.tolist():
-        yield batch.slice(start, end - start)
-        start = end
-    if start < batch.num_rows:
-        yield batch.slice(start)
-
-
 def tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str) -> DataFrame:
     """``row`` (a key of our own), ``id``, ``ids`` (uint32), ``n``: written once."""
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer)
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column("id"), words.encode(part.column("text"))], ["id", "ids"])
 
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

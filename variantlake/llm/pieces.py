@@ -13,6 +13,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = "▁"
 
@@ -60,6 +62,9 @@ class Pieces:
         self.keys = np.append(keys[order], np.iinfo(np.int64).max)
         self.child = np.append(np.fromiter(child.values(), np.int64, len(child))[order], 0)
         self.piece = np.array(piece, np.int32)
+        self.inner = np.zeros(len(piece), bool)  # is the beginning of a longer one
+        self.inner[self.keys[:-1] >> 21] = True
+        self.inner[0] = False  # stands for characters that begin no piece
         self.first = np.zeros(0x110000, np.int32)  # children of the root by character
         at_root = self.keys < 1 << 21
         self.first[self.keys[at_root]] = self.child[at_root]
@@ -70,57 +75,77 @@ def pieces(model: str) -> Pieces:
     return Pieces(model)
 
 
+def code_points(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """How many characters the words have, and all of them, with a zero at the end."""
+    length = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "")[0].as_py()
+    return length, np.frombuffer(f"{text}\0".encode("utf-32-le"), "<u4").astype(np.int64)
+
+
 class Lattices:
-    """The lattices of ``words``. Node ``base[w] + i`` is place i of word w; an edge has
-    a first node (``frm``), a last (``to``) and a ``piece``. Edges lie in order of their
-    first nodes: node n has ``count[n]`` of them from ``first[n]``, shorter ones first."""
-
-    def __init__(self, vocabulary: Pieces, words: list[str]):
-        self.length = np.fromiter(map(len, words), np.int64, len(words))
-        self.base = np.cumsum(self.length + 1) - self.length - 1
-        self.signs = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        n = len(self.signs)
-        inside = np.ones(n, bool)
-        inside[self.base + self.length] = False
-        begin = np.flatnonzero(inside)
-        end_of = np.repeat(self.base + self.length, self.length)
-        self.count = np.zeros(n, np.int64)
-        node = vocabulary.first[self.signs[begin]]
+    """The lattices of ``words``. Nodes are numbered by their distance from the end of
+    their word: first the ends of all words, then what is a character from the end, and so
+    on; ``start[w]`` is where word w begins. Node n has ``count[n]`` edges from ``first[n]``
+    on, shorter ones first; an edge has a first node (``frm``), a last (``to``), a ``piece``
+    and its first character (``sign``)."""
+
+    def __init__(self, vocabulary: Pieces, words: pa.StringArray):
+        length, signs = code_points(words)
+        order = np.argsort(-length, kind="stable")
+        # At a distance there are the longest words only: as many as are that long.
+        longest = int(length.max()) if len(words) else 0
+        self.many = np.searchsorted(-length[order], -np.arange(longest + 1), side="right")
+        self.offset = np.cumsum(self.many) - self.many
+        rank = np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        self.start = self.offset[length] + rank
+        ends = np.cumsum(length)[order]
+        away = np.repeat(np.arange(longest + 1), self.many)
+        word = np.arange(len(away)) - self.offset[away]
+        at = ends[word] - away  # where a node's character is
+        begin = np.arange(len(words), len(away))
+        away, word, at = away[begin], word[begin], at[begin]
+        self.count = np.zeros(len(words) + len(begin), np.int64)
+        node = vocabulary.first[signs[at]].astype(np.int64)
         found = []
         depth = 1
         while len(begin):
             fits = vocabulary.piece[node]
             some = slice(None) if depth == 1 else fits >= 0  # a single character is an edge in any case
             frm = begin[some]
-            found.append((frm, depth, self.count[frm], fits[some]))
+            found.append((frm, self.offset[away[some] - depth] + word[some], self.count[frm], fits[some]))
             self.count[frm] += 1
-            on = (begin + depth < end_of) & (node > 0)
-            begin, end_of, node = begin[on], end_of[on], node[on]
-            key = node.astype(np.int64) << 21 | self.signs[begin + depth]
-            at = np.searchsorted(vocabulary.keys, key)
-            on = vocabulary.keys[at] == key
-            begin, end_of, node = begin[on], end_of[on], vocabulary.child[at[on]]
+            on = (away > depth) & vocabulary.inner[node]
+            begin, away, word, at, node = begin[on], away[on], word[on], at[on], node[on]
+            key = node << 21 | signs[at + depth]
+            of = np.searchsorted(vocabulary.keys, key)
+            on = vocabulary.keys[of] == key
+            begin, away, word, at, node = begin[on], away[on], word[on], at[on], vocabulary.child[of[on]]
             depth += 1
         self.first = np.cumsum(self.count) - self.count
         edges = int(self.count.sum())
-        self.frm, self.to, self.piece = np.empty(edges, np.int64), np.empty(edges, np.int64), np.empty(edges, np.int32)
-        for frm, depth, nth, fits in found:
+        self.to, self.piece = np.empty(edges, np.int32), np.empty(edges, np.int32)
+        for frm, to, nth, fits in found:
             slot = self.first[frm] + nth
-            self.frm[slot], self.to[slot], self.piece[slot] = frm, frm + depth, fits
+            self.to[slot], self.piece[slot] = to, fits
+        begin = np.arange(len(words), len(self.count))
+        self.frm = np.repeat(begin.astype(np.int32), self.count[begin])
+        self.sign = signs[ends[begin - np.repeat(self.offset, self.many)[begin]] - np.repeat(np.arange(longest + 1), self.many)[begin]][self.frm - len(words)]
 
-    def backward(self, log_weight: np.ndarray) -> np.ndarray:
+    def backward(self, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each node the logarithm of the summed weights of all ways to the end of
-        its word. ``log_weight`` has a row per edge, of one or more columns."""
-        beta = np.zeros((len(self.signs), *log_weight.shape[1:]))
-        order = np.argsort(-self.length, kind="stable")
-        ends, lengths = (self.base + self.length)[order], self.length[order]
-        many = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
-        for back, m in enumerate(many.tolist(), 1):
-            nodes = ends[:m] - back
-            sizes = self.count[nodes]
-            edges = ragged(self.first[nodes], sizes)
-            x = log_weight[edges] + beta[self.to[edges]]
-            cuts = np.cumsum(sizes) - sizes
+        its word, and each edge's share of its first node's sum. ``log_weight`` has a row
+        per edge, of one or more columns."""
+        beta = np.zeros((len(self.count), *log_weight.shape[1:]))
+        share = np.empty_like(log_weight)
+        for a, m in zip(self.offset[1:].tolist(), self.many[1:].tolist()):
+            i, sizes = int(self.first[a]), self.count[a : a + m]
+            j = i + int(sizes.sum())
+            x = log_weight[i:j] + beta[self.to[i:j]]
+            cuts = self.first[a : a + m] - i
             top = np.maximum.reduceat(x, cuts)
-            beta[nodes] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, sizes, axis=0)), cuts))
-        return beta
+            x = np.exp(x - np.repeat(top, sizes, axis=0))
+            total = np.add.reduceat(x, cuts)
+            beta[a : a + m] = top + np.log(total)
+            share[i:j] = x / np.repeat(total, sizes, axis=0)
+        return beta, share

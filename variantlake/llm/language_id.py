@@ -1,32 +1,39 @@
 """Language identification by segmentation-marginalised unigrams.
 
 Each language has probabilities for the pieces of a fixed public vocabulary. The
-likelihood of a word is the sum over all its segmentations into pieces, by the
-forward algorithm; a text's is the product over its words (runs of letters), and the language with the largest one is predicted; the score is its
-posterior under equal priors. Words recur, so a task remembers what it has summed, in
-a cache of bounded size.
-
-The probabilities are fitted to at most ``FIT_ROWS`` labelled rows of each language,
-the first by a hash of the id; every text is then scored whole.
-
-Defined cases: a null text or one without a letter is ``und`` with score 0; without
-any labelled row every text is; equal likelihoods go to the first language by name;
-repeated rows are scored one by one; an empty table gives an empty result; other
-columns are ignored, whatever their names.
+likelihood of a word is the sum over all its segmentations into pieces, by the forward
+algorithm (run from the word's end, in logarithms, for words of every length); a text's
+is the product over its words (runs of letters), and the language with the largest one is
+predicted; the score is its posterior under equal priors. Words recur, so a task
+remembers what it has summed, in a cache of bounded size.
+
+The probabilities are fitted to at most ``FIT_ROWS`` labelled rows of each language, the
+first by a hash of the id. Pieces are counted on the executors; only the counts, at most
+one a language and piece, come to the driver. Every text is then scored whole.
+
+Defined cases: a null text or one without a letter (Unicode category L) is ``und`` with
+score 0; without any labelled row every text is; equal likelihoods go to the first
+language by name; repeated rows are scored one by one, and rows that share an id may all
+be fitted to; very long texts are scored whole, by themselves; an empty table gives an
+empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, join_small
+from .common import fold, join_small, written
+from .pieces import SPACE, Lattices, default_model, pieces, processor
 
 #: Labelled rows of each language that the fit takes at most.
 FIT_ROWS = 1_000
@@ -34,108 +41,34 @@ SMOOTHING = 0.05
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
 CACHE_WORDS = 400_000
-#: Longer words go through the forward algorithm one by one, in logarithms.
-LONG_WORD = 120
+#: Words whose lattices are built at once.
+BLOCK_WORDS = 2_000
 #: Probability of a character that the vocabulary lacks.
 UNKNOWN = 1e-7
-#: Nats added per character, so that products neither vanish nor overflow.
-LIFT = 2.6
-STEP_CHARS = 400_000
+STEP_CHARS = 2_000_000
 
-LETTERS = re.compile(r"[^\W\d_]+")
-SPACE_MARK = "▁"
 
-
-def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("piece_bpe_32k.model")
-
-
-@lru_cache(2)
-def _vocabulary(path: str) -> tuple[dict[str, int], int]:
-    """Every piece with its number; every prefix of a piece that is none with -1."""
-    import sentencepiece
-
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    found: dict[str, int] = {}
-    for i in range(sp.get_piece_size()):
-        if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
-            piece = sp.id_to_piece(i)
-            found[piece] = i
-            for j in range(1, len(piece)):
-                found.setdefault(piece[:j], -1)
-    return found, sp.get_piece_size()
+@lru_cache(1)
+def _letters() -> re.Pattern:
+    """Runs of letters: word characters but for digits, other numbers and the underscore."""
+    numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+    return re.compile(rf"[^\W\d_{numbers}]+")
 
 
 def words_of(text: str) -> list[str]:
     """A text's words: its runs of letters, in lower case."""
-    return LETTERS.findall(text.lower())
-
-
-def _edges(word: str, pieces: dict[str, int], unknown: int) -> list[int]:
-    """begin, end, piece of each edge of the lattice over ``word``, one after the other."""
-    out, get, n = [], pieces.get, len(word)
-    for i in range(n):
-        p = get(word[i])
-        if p is None or p < 0:
-            out += i, i + 1, unknown
-            if p is None:
-                continue
-        else:
-            out += i, i + 1, p
-        for j in range(i + 2, n + 1):
-            p = get(word[i:j])
-            if p is None:
-                break
-            if p >= 0:
-                out += i, j, p
-    return out
-
-
-def _long_forward(word: str, logp: np.ndarray, pieces: dict[str, int]) -> np.ndarray:
-    alpha = np.full((len(word) + 1, logp.shape[1]), -np.inf)
-    alpha[0] = 0
-    edges = _edges(word, pieces, len(logp) - 1)
-    for i, j, p in zip(edges[::3], edges[1::3], edges[2::3]):
-        alpha[j] = np.logaddexp(alpha[j], alpha[i] + logp[p])
-    return alpha[-1]
+    return _letters().findall(text.lower())
 
 
-def forward(words: list[str], logp: np.ndarray, pieces: dict[str, int]) -> np.ndarray:
+def forward(words: list[str], logp: np.ndarray, vocabulary: str) -> np.ndarray:
     """Log-likelihood of each word (with its space mark) in each language: the sum over
-    all segmentations. ``logp`` has a row per piece and a last one for the unknown."""
+    all segmentations. ``logp`` has a row per piece and a last one for a character that is
+    no piece."""
     out = np.empty((len(words), logp.shape[1]))
-    short = [k for k, w in enumerate(words) if len(w) < LONG_WORD]
-    for k, w in enumerate(words):
-        if len(w) >= LONG_WORD:
-            out[k] = _long_forward(SPACE_MARK + w, logp, pieces)
-    if not short:
-        return out
-    unknown = len(logp) - 1
-    marked = [SPACE_MARK + words[k] for k in short]
-    flat: list[int] = []
-    sizes = []
-    for w in marked:
-        edges = _edges(w, pieces, unknown)
-        flat += edges
-        sizes.append(len(edges) // 3)
-    begin, end, piece = np.array(flat, np.int32).reshape(-1, 3).T
-    row = np.repeat(np.arange(len(marked)), sizes)
-    length = np.array([len(w) for w in marked])
-    order = np.argsort(end, kind="stable")
-    begin, end, piece, row = begin[order], end[order], piece[order], row[order]
-    cuts = np.searchsorted(end, np.arange(length.max() + 2))
-    alpha = np.zeros((length.max() + 1, len(marked), logp.shape[1]))
-    alpha[0] = 1
-    weight = np.exp(logp[piece] + LIFT * (end - begin)[:, None])
-    for j in range(1, length.max() + 1):
-        s = slice(cuts[j], cuts[j + 1])
-        part = alpha[begin[s], row[s]] * weight[s]
-        for k in range(logp.shape[1]):
-            alpha[j, :, k] = np.bincount(row[s], weights=part[:, k], minlength=len(marked))
-    last = alpha[length, np.arange(len(marked))]
-    out[short] = np.log(np.maximum(last, 1e-300)) - LIFT * length[:, None]
+    for i in range(0, len(words), BLOCK_WORDS):
+        block = Lattices(pieces(vocabulary), pa.array([SPACE + w for w in words[i : i + BLOCK_WORDS]], pa.string()))
+        beta, _ = block.backward(logp[block.piece])  # piece -1 is the last row
+        out[i : i + BLOCK_WORDS] = beta[block.start]
     return out
 
 
@@ -147,66 +80,95 @@ class Model:
         self.index: dict[str, int] = {}
         self.table = np.empty((0, len(languages)))
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.index) + len(words) > CACHE_WORDS:
-            self.index, self.table = {}, self.table[:0]
+    def _learn(self, words: list[str]) -> None:
         new = [w for w in words if w not in self.index]
-        pieces, _ = _vocabulary(self.vocabulary)
-        parts = [self.table[: len(self.index)]]
-        for i in range(0, len(new), 20_000):
-            parts.append(forward(new[i : i + 20_000], self.logp, pieces))
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.table = np.concatenate(parts)
-
-    def likelihoods(self, texts: list[str]) -> list[np.ndarray]:
-        split = [words_of(x) for x in texts]
-        self._learn(set().union(*split))
-        at = self.index.__getitem__
-        return [self.table[list(map(at, words))].sum(axis=0) for words in split]
+        if len(self.index) + len(new) > CACHE_WORDS:
+            self.index, new, self.table = {}, words, self.table[:0]
+        if new:
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.table = np.concatenate([self.table, forward(new, self.logp, self.vocabulary)])
+
+    def likelihoods(self, split: list[list[str]]) -> np.ndarray:
+        """A row for each list of words, none of them empty."""
+        coded = pa.array([w for words in split for w in words], pa.string()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self._learn(words)
+        rows = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        return np.add.reduceat(self.table[rows], np.cumsum(sizes) - sizes)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNDETERMINED, 0.0)] * len(texts)
-        todo = [i for i, x in enumerate(texts) if x and self.languages and LETTERS.search(x)]
         step: list[int] = []
+        split: list[list[str]] = []
         chars = 0
-        for n, i in enumerate(todo):
-            step.append(i)
-            chars += len(texts[i])
-            if chars >= STEP_CHARS or n == len(todo) - 1:
-                for k, ll in zip(step, self.likelihoods([texts[k] for k in step])):
+        for n, x in enumerate(texts):
+            words = words_of(x) if x and self.languages else []
+            if words:
+                step.append(n)
+                split.append(words)
+                chars += len(x)
+            if step and (chars >= STEP_CHARS or n == len(texts) - 1):
+                for k, ll in zip(step, self.likelihoods(split)):
                     best = int(np.argmax(ll))
                     out[k] = self.languages[best], float(1 / np.exp(np.maximum(ll - ll[best], -700)).sum())
-                step, chars = [], 0
+                step, split, chars = [], [], 0
         return out
 
 
-def fit(labelled: list[tuple[str, str]], vocabulary: str | None = None) -> Model:
-    """A model from (text, language): pieces are counted as the vocabulary's own
-    encoder cuts the words, with a little added to each."""
-    import sentencepiece
+def piece_counts(texts: list[str], vocabulary: str) -> np.ndarray:
+    """How often the vocabulary's own encoder uses each piece for the texts' words."""
+    sp = processor(vocabulary)
+    words = Counter(w for x in texts for w in words_of(x))
+    out = np.zeros(sp.get_piece_size(), np.int64)
+    for ids, n in zip(sp.encode(list(words), num_threads=1), words.values()):
+        for i in ids:
+            out[i] += n
+    return out
+
 
-    path = vocabulary or default_vocabulary()
-    sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    languages = sorted({x for _, x in labelled})
-    counts = np.zeros((sp.get_piece_size(), len(languages)))
-    for k, language in enumerate(languages):
-        words = Counter(w for text, x in labelled if x == language for w in words_of(text))
-        for ids, n in zip(sp.encode(list(words), num_threads=1), words.values()):
-            for i in ids:
-                counts[i, k] += n
-    counts += SMOOTHING
-    logp = np.log(counts / counts.sum(axis=0, keepdims=True)) if languages else counts
-    return Model(languages, np.vstack([logp, np.full((1, len(languages)), np.log(UNKNOWN))]), path)
+def model_of(counts: dict[str, np.ndarray], vocabulary: str) -> Model:
+    """A model from each language's piece counts; a little is added to each."""
+    languages = sorted(counts)
+    size = processor(vocabulary).get_piece_size()
+    table = np.array([counts[x] for x in languages], float).reshape(len(languages), size).T + SMOOTHING
+    logp = np.log(table / table.sum(axis=0, keepdims=True)) if languages else table
+    return Model(languages, np.vstack([logp, np.full((1, len(languages)), np.log(UNKNOWN))]), vocabulary)
+
+
+def picked_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
+    """``lang, text`` of at most ``rows`` rows of each language outside the held-out fold.
+    Each language's rows are thinned by their hash to little more than ``rows`` where
+    they lie, so that a frequent language is never gathered."""
+    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, FOLDS) != HELD_OUT))
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    known = known.withColumn("hash", F.xxhash64("id"))
+    share = (F.lit(rows) + 6 * F.sqrt(F.lit(float(rows))) + 20) / F.count(F.lit(1))
+    shares = written(known.groupBy("lang").agg(share.alias("share")), "languages")
+    unit = F.shiftrightunsigned("hash", 11) * F.lit(2.0**-53)
+    thin = join_small(known, shares, "lang", "inner", spread="hash").filter(unit <= F.col("share"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id", F.xxhash64("text")))
+    return thin.withColumn("nth", nth).filter(F.col("nth") <= rows).select("lang", "text")
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, vocabulary: str | None = None) -> Model:
     """Fit on at most ``rows`` rows of each language outside the held-out fold."""
-    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, FOLDS) != HELD_OUT))
-    picked = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang")).withColumn("nth", at).filter(F.col("nth") <= rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    found = join_small(texts, picked.select("id", "lang").distinct(), "id", "inner").collect()  # at most rows a language
-    return fit(sorted((r["text"], r["lang"]) for r in found), vocabulary)
+    path = vocabulary or default_model()
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lang, part in batch.groupby("lang"):
+                counts = piece_counts(part["text"].tolist(), path)
+                used = np.flatnonzero(counts)
+                yield pd.DataFrame({"lang": lang, "piece": used.astype("int32"), "n": counts[used]})
+
+    partial = picked_rows(docs, id_col, text_col, lang_col, rows).mapInPandas(counted, "lang string, piece int, n long")
+    sums = partial.groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()  # at most languages * pieces rows
+    size = processor(path).get_piece_size()
+    counts = {x: np.zeros(size) for x in sums["lang"].unique()}
+    for lang, part in sums.groupby("lang"):
+        counts[lang][part["piece"].to_numpy()] = part["n"].to_numpy()
+    return model_of(counts, path)
 
 
 def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,16 +48,21 @@ UNKNOWN = 1e-7
 STEP_CHARS = 2_000_000
 
 
+#: Letters, and the few numbers that are neither digits nor letters.
+NEARLY = re.compile(r"[^\W\d_]+")
+
+
 @lru_cache(1)
 def _letters() -> re.Pattern:
-    """Runs of letters: word characters but for digits, other numbers and the underscore."""
     numbers = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
     return re.compile(rf"[^\W\d_{numbers}]+")
 
 
 def words_of(text: str) -> list[str]:
     """A text's words: its runs of letters, in lower case."""
-    return _letters().findall(text.lower())
+    low = text.lower()
+    words = NEARLY.findall(low)
+    return words if "".join(words).isalpha() or not words else _letters().findall(low)
 
 
 def forward(words: list[str], logp: np.ndarray, vocabulary: str) -> np.ndarray:

@@ -143,17 +143,15 @@ def forest(homes: np.ndarray, members: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(nodes[own].tolist(), nodes[label[own]].tolist()))
 
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by cell; a cell may go on in the next batch."""
+def by_cell(batches: Iterator[pd.DataFrame], work, columns: list[str]) -> Iterator[pd.DataFrame]:
+    """What ``work`` finds in each cell. Rows come sorted by cell; a cell may go on in the
+    next batch."""
 
-    def links(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        cell, fp, home = rows["cell"].to_numpy(), rows["fp"].to_numpy(), rows["home"].to_numpy()
+    def done(rows: pd.DataFrame) -> pd.DataFrame:
+        cell, home = rows["cell"].to_numpy(), rows["home"].to_numpy()
         cuts = [0, *(np.nonzero(np.diff(cell))[0] + 1), len(cell)]
-        out: list[tuple[int, int]] = []
-        for i, j in zip(cuts, cuts[1:]):
-            if home[i:j].any():
-                out += forest(fp[i:j][home[i:j]], fp[i:j])
-        return out
+        found = [x for i, j in zip(cuts, cuts[1:]) if home[i:j].any() and j - i > 1 for x in work(rows.iloc[i:j])]
+        return pd.DataFrame(found, columns=columns, dtype="int64")
 
     rest = None
     for batch in batches:
@@ -163,26 +161,35 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             continue
         whole = batch["cell"] != batch["cell"].iloc[-1]
         rest = batch[~whole]
-        yield pd.DataFrame(links(batch[whole]), columns=["a", "b"], dtype="int64")
+        yield done(batch[whole])
     if rest is not None:
-        yield pd.DataFrame(links(rest), columns=["a", "b"], dtype="int64")
+        yield done(rest)
+
+
+def cell_grid(rows: DataFrame, spread: str, homes: int, members: int) -> DataFrame:
+    """``rows`` (key, home, ...) in cells of about so many homes and members: a home meets
+    every column of its anchor's grid, a member every row. At most a few ten thousand
+    anchor counts reach the driver."""
+    counts = rows.groupBy("key").agg(F.count_if("home").alias("h"), F.count(F.lit(1)).alias("m")).collect()
+    grid = [(r["key"], -(-r["h"] // homes) or 1, -(-r["m"] // members)) for r in counts]
+    plan = rows.sparkSession.createDataFrame(grid, "key int, p int, q int")  # a row per anchor
+    side = lambda n, salt: F.pmod(F.xxhash64(spread, F.lit(salt)), F.col(n)).cast("int")
+    cell = lambda i, j, home: F.struct(F.xxhash64("key", i, j).alias("cell"), F.lit(home).alias("home"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_member = F.transform(to("p"), lambda i: cell(i, side("q", 2), False))
+    as_home = F.when(F.col("home"), F.transform(to("q"), lambda j: cell(side("p", 1), j, True))).otherwise(F.array().cast("array<struct<cell:bigint,home:boolean>>"))
+    placed = rows.join(F.broadcast(plan), "key").withColumn("place", F.explode(F.concat(as_home, as_member)))
+    return placed.drop("key", "home").select("place.cell", "place.home", *[c for c in rows.columns if c not in ("key", "home")])
 
 
 def links(prints: DataFrame) -> DataFrame:
     """Edges ``a, b`` between the distinct fingerprints (column fp) that span every
     class of fingerprints linked at ``MAX_BITS`` or fewer bits."""
-    spark = prints.sparkSession
     rows = written(prints.select("fp").mapInArrow(_replicas, "key int, fp long, home boolean"), "replicas")
-    counts = rows.groupBy("key").agg(F.count_if("home").alias("h"), F.count(F.lit(1)).alias("m")).collect()
-    grid = [(r["key"], -(-r["h"] // CELL_HOMES) or 1, -(-r["m"] // CELL_MEMBERS)) for r in counts]
-    plan = spark.createDataFrame(grid, "key int, p int, q int")  # at most 12,288 rows
-    side = lambda n, salt: F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(n)).cast("int")
-    # A home meets every column of its row of cells, a member every row of its column.
-    as_home = rows.filter("home").join(F.broadcast(plan), "key").withColumn("i", side("p", 1)).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    as_member = rows.join(F.broadcast(plan), "key").withColumn("j", side("q", 2)).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    cell = F.xxhash64("key", "i", "j").alias("cell")
-    placed = as_home.select(cell, "fp", F.lit(True).alias("home")).unionByName(as_member.select(cell, "fp", F.lit(False).alias("home")))
-    return placed.repartition("cell").sortWithinPartitions("cell").mapInPandas(_cells, "a long, b long").distinct()
+    placed = cell_grid(rows, "fp", CELL_HOMES, CELL_MEMBERS)
+    work = lambda cell: forest(cell["fp"].to_numpy()[cell["home"].to_numpy()], cell["fp"].to_numpy())
+    dealt = placed.repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInPandas(lambda batches: by_cell(batches, work, ["a", "b"]), "a long, b long").distinct()
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

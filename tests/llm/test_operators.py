@@ -154,13 +154,13 @@ def test_secret_base(docs, real):
 
 
 def test_pii(docs, empty):
-    out = {r.doc_id: r for r in pii.surrogates(docs).collect()}
+    out = {r.doc_id: r for r in pii.surrogates(docs, key="change-me").collect()}
     assert len(out) == docs.select("doc_id").distinct().count()
     new = re.search(r"\S+@\S+", out[10].text)[0]
     assert "Smith" not in out[10].text and new.lower() != "a.b@x.org"
     assert re.search(r"\S+@\S+", out[11].text)[0].lower() == new.lower()
     assert out[0].text is None and out[1].text == "" and out[13].text == "日本語 テキスト"
-    assert pii.without_pii(docs).columns == docs.columns and pii.surrogates(empty).count() == 0
+    assert pii.without_pii(docs, key="change-me").columns == docs.columns and pii.surrogates(empty, key="change-me").count() == 0
 
 
 def test_fold(spark):

@@ -7,7 +7,7 @@ from variantlake.llm import pii
 
 def replaced(spark, *texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return [r.text for r in sorted(pii.surrogates(docs).collect(), key=lambda r: r.doc_id)]
+    return [r.text for r in sorted(pii.surrogates(docs, key="change-me").collect(), key=lambda r: r.doc_id)]
 
 
 def test_addresses_of_every_script(spark):
@@ -39,3 +39,42 @@ def test_people_mentioned_again(spark):
     assert out[2] == "Anna Smith is not named with a title here"
     assert re.fullmatch(r"Herr Dr\. [A-Z]\w+[nrs] ([A-Z]\w+), \1; г-жа [А-Я][а-я]+на ([А-Я][а-я]+), \2", out[3])
     assert re.fullmatch(r"Mr (\w+ \w+) and Mrs \1", out[4])
+
+
+def test_no_text_ends_a_job(spark):
+    texts = ["x@" + "a." * 100_000, "Mr A" + "-aa" * 50_000, "Dr " * 50_000 + "Mrs Jones", "+1 " * 50_000, "1.2" * 50_000, "word " * 1_000_000, "GB82 " * 20_000]
+    out = replaced(spark, *texts)
+    assert len(out) == len(texts) and "Jones" not in out[2] and out[5] == texts[5]
+
+
+def test_a_full_space_gets_longer_surrogates(spark):
+    mails = [f"{a}@{b}.co" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    new = replaced(spark, *mails)
+    assert len(set(new)) == len(mails) and not set(new) & set(mails) and all(re.fullmatch(r"[a-z]+@[a-z]\.co", x) for x in new)
+
+
+def valid_iban(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+
+def luhn(x):
+    digits = [int(c) for c in re.sub(r"\D", "", x)][::-1]
+    return sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])
+
+
+def test_every_kind_keeps_its_format(spark):
+    iban, card = "GB82 WEST 1234 5698 7654 32", "4111-1111-1111-1111"
+    text = f"call +1 (743) 555-3824 or (743) 555-3824 or 743-555-3824; {iban} and DE89370400440532013000; {card}; 078-05-1120; 10.1.2.3; a.b9@x.org"
+    new = replaced(spark, text, text)
+    assert new[0] == new[1]
+    m = re.fullmatch(r"call \+1 \((\d{3})\) (\d{3})-(\d{4}) or \((\d{3})\) (\d{3})-(\d{4}) or (\d{3})-(\d{3})-(\d{4}); (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d) and (DE\d{20}); (4\d{3}-\d{4}-\d{4}-\d{4}); (\d{3}-\d\d-\d{4}); (\d+\.\d+\.\d+\.\d+); ([a-z]\.[a-z]\d@[a-z]\.org)", new[0])
+    assert m and m.groups()[:3] == m.groups()[3:6] == m.groups()[6:9] and m[1][0] in "23456789" and m[2][0] in "23456789"
+    assert valid_iban(iban) and valid_iban(m[10]) and valid_iban(m[11]) and luhn(card) % 10 == luhn(m[12]) % 10 == 0
+    assert m[10] != iban and m[12] != card and m[13] != "078-05-1120" and m[14] != "10.1.2.3" and m[15] != "a.b9@x.org"
+
+
+def test_other_keys_give_other_surrogates(spark):
+    docs = spark.createDataFrame([(1, "a.b@x.org")], "doc_id long, text string")
+    assert len({pii.surrogates(docs, key=k).first().text for k in ("a", "b", "c")}) == 3
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 64

@@ -4,8 +4,8 @@ Entities (e-mail and IP addresses, telephone, card and account numbers, national
 numbers, names after a form of address) are found by one expression; a name found so is
 then found in the rest of its text without its title too, whole or by one word. Each distinct
 entity, in a canonical form that its spellings share, gets one surrogate from a keyed
-hash: same type, length classes and punctuation; card numbers keep their check digit's
-validity, names keep gender and script. Surrogates are checked against each other and
+hash: same type, length classes and punctuation; card and account numbers keep their check
+digits' validity, names keep gender and script. Surrogates are checked against each other and
 against all real entities; the losers are hashed again until none collide, so distinct
 entities stay distinct and one entity reads the same in every document.
 
@@ -13,46 +13,62 @@ A document's new text depends on its text alone, so texts meet their replacement
 content hash, and copies share one computation. Texts without an entity never shuffle.
 
 Defined cases: a null text stays null, an empty one empty; an empty table gives an
-empty result; repeated rows give repeated results; other columns pass through (or are
+empty result; repeated rows give repeated results; null ids are carried; very long texts and mentions are
+searched whole; where all surrogates of a length are taken, longer ones are made; other columns pass through (or are
 ignored by ``surrogates``), whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import written
 
-KEY = "change-me"
-MAX_ROUNDS = 50
+#: After so many attempts a surrogate gets a sign more, and so on: its length class may be used up.
+LENGTHEN_AFTER = 4
 
 FEMALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Signora|г-жа|госпожа"
 MALE = "Mr|Herr|Monsieur|Señor|Signor|г-н|господин"
 NEUTRAL = "Dr|Prof"
 SIGN = r"\p{L}\p{M}\p{N}"  # of a word, in every script
-EMAIL = rf"(?<![{SIGN}_.%+-])[{SIGN}_.%+-]++@[{SIGN}-]+(?:\.[{SIGN}-]+)*\.(?:[A-Za-z]{{2,}}|[\p{{L}}\p{{M}}]{{2,}})"
+EMAIL = rf"(?<![{SIGN}_.%+-])[{SIGN}_.%+-]++@[{SIGN}-]+(?:\.[{SIGN}-]+){{0,126}}\.(?:[A-Za-z]{{2,}}|[\p{{L}}\p{{M}}]{{2,}})"
 IP = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"
 IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)"
 NATIONAL = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"(?<!\w)\d{4}(?:[\x20-]\d{4}){2}[\x20-]\d{1,7}(?!\w)|(?<!\w)\d{13,19}(?!\w)"
 PHONE = r"(?<![\w+])\+\d{1,3}[\x20.-]?(?:\(\d{1,4}\)[\x20.-]?)?\d{2,4}(?:[\x20.-]\d{2,4}){1,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)|(?<!\w)\(\d{3}\)\x20?\d{3}[.-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"
 TITLES = rf"(?:(?:{FEMALE}|{MALE}|{NEUTRAL})\.?\x20)"
-WORD = r"\p{Lu}(?:['’-]?[\p{L}\p{M}]{2,}|[\p{L}\p{M}])(?:['’-][\p{L}\p{M}]{2,})*"
+WORD = r"\p{Lu}(?:['’-]?[\p{L}\p{M}]{2,}|[\p{L}\p{M}])(?:['’-][\p{L}\p{M}]{2,})*+"
 NAME = rf"(?<!\p{{L}}){TITLES}++{WORD}(?:\x20{WORD})?"
 #: Entities of a group share their first signs, which decide whether it is tried.
 PATTERN = rf"{EMAIL}|(?=[0-9+(])(?:{IP}|{NATIONAL}|{PHONE}|{CARD})|(?=[A-Zг])(?:{IBAN}|{NAME})"
 DIGIT_KINDS = ("phone", "card", "national")
 
 
+#: Setting of a session that holds the key.
+KEY_SETTING = "spark.variantlake.piiKey"
+_own_key: list[str] = []
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session sets; else one made for this driver, so that nobody can
+    compute its surrogates anew."""
+    if not _own_key:
+        _own_key.append(secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING, None) or _own_key[0]
+
+
 def _kind(m: Column) -> Column:
     return (
         F.when(m.contains("@"), "email")
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(m.rlike(r"^[A-Z]{2}\d{2}"), "iban")
         .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), "national")
-        .when(m.rlike(rf"^(?:(?:{NEUTRAL})\.?\x20)*(?:{FEMALE})\.?\x20"), "name_f")
-        .when(m.rlike(rf"^(?:(?:{NEUTRAL})\.?\x20)*(?:{MALE})\.?\x20"), "name_m")
+        .when(m.rlike(rf"^(?:(?:{NEUTRAL})\.?\x20)*+(?:{FEMALE})\.?\x20"), "name_f")
+        .when(m.rlike(rf"^(?:(?:{NEUTRAL})\.?\x20)*+(?:{MALE})\.?\x20"), "name_m")
         .when(m.rlike(r"^\p{L}"), "name")
         .when(m.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]"), "phone")
         .otherwise("card")
@@ -60,7 +76,7 @@ def _kind(m: Column) -> Column:
 
 
 def _untitled(m: Column) -> Column:
-    return F.regexp_replace(m, f"^{TITLES}+", "")
+    return F.regexp_replace(m, f"^{TITLES}++", "")
 
 
 def _canonical(kind: Column, m: Column) -> Column:
@@ -70,6 +86,7 @@ def _canonical(kind: Column, m: Column) -> Column:
         .when(kind == "ip", m)
         .when(kind == "iban", F.replace(m, F.lit(" "), F.lit("")))
         .when(kind.startswith("name"), F.lower(_untitled(m)))
+        .when(kind == "phone", F.regexp_replace(F.regexp_replace(m, r"\D", ""), r"^1(?=\d{10}$)", ""))  # with or without the country code
         .otherwise(F.regexp_replace(m, r"\D", ""))
     )
 
@@ -128,8 +145,30 @@ def _email(noise: Column, canonical: Column) -> Column:
     return _chars(canonical, lambda c, i: F.when(i >= fixed, c).when(c.rlike(r"\p{N}"), _pick("0123456789", noise, i)).when(c.rlike(r"\p{L}"), letter(c, i)).otherwise(c))
 
 
+def _mod97(iban: Column) -> Column:
+    """The remainder that is 1 for a valid number."""
+    signs = F.filter(F.split(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4)), ""), lambda c: c != "")
+    step = lambda a, c: F.when(c.rlike(r"\d"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(signs, F.lit(0), step)
+
+
 def _iban(noise: Column, canonical: Column) -> Column:
-    return _chars(canonical, lambda c, i: F.when(i < 2, c).when(c.rlike(r"\d"), _pick("0123456789", noise, i)).otherwise(_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", noise, i)))
+    """The country stays; a valid number gets valid check digits."""
+
+    def checked(made: Column) -> Column:
+        country, body = F.substring(made, 1, 2), F.substring(made, F.lit(5), F.length(made))
+        digits = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
+        return F.when(_mod97(canonical) == 1, F.concat(country, digits, body)).otherwise(made)
+
+    signs = lambda c, i: F.when(i < 2, c).when(c.rlike(r"\d"), _pick("0123456789", noise, i)).otherwise(_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", noise, i))
+    return _once(_chars(canonical, signs), checked)
+
+
+def _phone(noise: Column, canonical: Column) -> Column:
+    """What is before the last ten digits stays; area and exchange begin with 2 to 9."""
+    n = F.length(canonical)
+    keep = F.greatest(n - 10, F.lit(0))
+    return _chars(canonical, lambda c, i: F.when(i < keep, c).when((i == n - 10) | (i == n - 7), _pick("23456789", noise, i)).otherwise(_pick("0123456789", noise, i)))
 
 
 def _name(key: str, gender: Column, canonical: Column, attempt: Column) -> Column:
@@ -149,7 +188,9 @@ def _name(key: str, gender: Column, canonical: Column, attempt: Column) -> Colum
             end = F.when(given & (gender == "f"), F.when(cyrillic, "на").otherwise("na")).when(given & (gender == "m"), pick("nrs", "нрс", 6)).otherwise(pick(*consonant, 6))
             return F.initcap(F.concat(body, end))
 
-        return _once(_noise(key, role, w, attempt), made)
+        # A second attempt changes the given name only, so the surname reads as it does alone.
+        tries = F.when((F.size(words) > 1) & (i > 0), 0).otherwise(attempt)
+        return _once(_noise(key, role, w, tries), made)
 
     return F.array_join(F.transform(words, word), " ")
 
@@ -157,37 +198,44 @@ def _name(key: str, gender: Column, canonical: Column, attempt: Column) -> Colum
 def _surrogate(key: str, kind: Column, gender: Column, canonical: Column, attempt: Column) -> Column:
     def made(noise: Column) -> Column:
         octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(noise, i) % 254 + 1).cast("string"))
-        return (
+        more = (attempt / LENGTHEN_AFTER).cast("int")
+        letters, digits = (F.array_join(F.transform(F.sequence(F.lit(0), more), lambda i: F.when(i > 0, _pick(x, noise, i + 40)).otherwise("")), "") for x in ("abcdefghijklmnopqrstuvwxyz", "0123456789"))
+        plain = (
             F.when(kind == "email", _email(noise, canonical))
             .when(kind == "ip", F.array_join(octets, "."))
             .when(kind == "iban", _iban(noise, canonical))
             .when(kind == "name", _name(key, gender, canonical, attempt))
-            .when(kind == "phone", _digits(noise, canonical, F.greatest(F.length(canonical) - 10, F.lit(0))))
+            .when(kind == "phone", _phone(noise, canonical))
             .when(kind == "card", _card(noise, canonical))
             .otherwise(_digits(noise, canonical, F.lit(0)))
         )
+        return F.when(kind == "email", F.concat(letters, plain)).when(kind == "name", F.concat(plain, letters)).when(kind == "ip", plain).otherwise(F.concat(plain, digits))
 
     return _once(_noise(key, kind, canonical, attempt), made)
 
 
 def _spelled(kind: Column, m: Column, surrogate: Column) -> Column:
     """The surrogate in the spelling of this mention."""
+    bare = F.regexp_replace(m, r"\D", "")
+    coded = (kind == "phone") & bare.rlike(r"^1\d{10}$")  # the code is no part of the canonical form
+    surrogate = F.when(coded, F.concat(F.lit("1"), surrogate)).otherwise(surrogate)
     blanks = F.split(F.regexp_replace(m, "[A-Z0-9]", "#"), "#", -1)
     signs = F.filter(F.split(surrogate, ""), lambda c: c != "")
     filled = F.array_join(F.zip_with(blanks, signs, lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), "")
     cased = _chars(surrogate, lambda c, i: F.when(F.substring(m, (i + 1).cast("int"), F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
-    title = F.concat(F.regexp_extract(m, f"^{TITLES}*", 0), surrogate)
+    title = F.concat(F.regexp_extract(m, f"^{TITLES}*+", 0), surrogate)
     return F.when(kind == "email", cased).when(kind == "ip", surrogate).when(kind.startswith("name"), title).otherwise(filled)
 
 
-def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
+def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind, canonical, surrogate`` for distinct ``kind, canonical``: distinct, and none a
     real entity. A column ``gender`` (f, m or null) gives names their ending. Of those that want one surrogate the smallest gets it; the others try
     again with the next attempt."""
     real = entities.select("kind", F.col("canonical").alias("surrogate"))
     gender = F.col("gender") if "gender" in entities.columns else F.lit(None).cast("string")
-    waiting, done = entities.withColumn("gender", gender).withColumn("attempt", F.lit(0)), None
-    for _ in range(MAX_ROUNDS):
+    done = None
+    waiting = entities.withColumn("gender", gender).withColumn("attempt", F.lit(0))
+    while True:
         tried = waiting.withColumn("surrogate", _surrogate(key, F.col("kind"), F.col("gender"), F.col("canonical"), F.col("attempt")))
         taken = real if done is None else real.unionByName(done.select("kind", "surrogate"))
         free = tried.join(taken.withColumn("surrogate", F.col("surrogate")), ["kind", "surrogate"], "left_anti")
@@ -196,12 +244,11 @@ def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
         waiting = written(waiting.join(done, ["kind", "canonical"], "left_anti").withColumn("attempt", F.col("attempt") + 1), "waiting")
         if waiting.isEmpty():
             return done
-    raise RuntimeError(f"surrogates still collide after {MAX_ROUNDS} rounds")
 
 
 def _names(found: Column) -> Column:
     """The names among a text's mentions, as spelled there without their titles."""
-    return F.array_distinct(F.transform(F.filter(found, lambda m: m.rlike(rf"^{TITLES}+\p{{Lu}}")), _untitled))
+    return F.array_distinct(F.transform(F.filter(found, lambda m: m.rlike(rf"^{TITLES}++\p{{Lu}}")), _untitled))
 
 
 def _pattern(names: Column) -> Column:
@@ -219,7 +266,7 @@ def _owner(canonical: Column, names: Column) -> Column:
     return F.when(F.array_contains(lower, canonical), canonical).otherwise(F.coalesce(part, canonical))
 
 
-def replacements(found: DataFrame, key: str = KEY) -> DataFrame:
+def replacements(found: DataFrame, key: str) -> DataFrame:
     """``h, spelled, kinds``: for each text with an entity (``h``, its SHA-256,
     ``names``, those it gives with a title, and ``found``, its mentions) the
     replacements in order and their kinds. A name is one entity whatever its titles;
@@ -245,7 +292,7 @@ def _replaced(text: Column, names: Column, spelled: Column) -> Column:
     return F.array_join(F.zip_with(gaps, spelled, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def replace_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` with surrogates in ``text_col``, in a struct
     ``row``, and the kinds replaced, in ``kinds``. Rows are written with their
     mentions; only texts with a name are searched again, for its other mentions."""
@@ -263,12 +310,12 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Data
     return clean.unionByName(met)
 
 
-def surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, text, n_replaced, kinds`` for every row of ``docs``."""
-    out = replace_pii(docs.select(id_col, text_col), text_col, key)
+    out = replace_pii(docs.select(id_col, text_col), key, text_col)
     return out.select(f"row.{id_col}", f"row.{text_col}", F.size("kinds").cast("long").alias("n_replaced"), F.array_join("kinds", ",").alias("kinds"))
 
 
-def without_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def without_pii(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with surrogates in its text column."""
-    return replace_pii(docs, text_col, key).select("row.*")
+    return replace_pii(docs, key, text_col).select("row.*")

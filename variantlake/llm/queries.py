@@ -46,7 +46,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(_table(spark, sf_dir, "documents"))
+    return pii.surrogates(_table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

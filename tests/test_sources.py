@@ -39,6 +39,11 @@ def test_unknown_format(spark, tmp_path):
         read_genotypes(spark, str(tmp_path)).collect()
 
 
+def test_clinvar_ids_with_their_prefix(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text(clinvar_line("rs5", "GRCh38", "benign") + clinvar_line(" 6 ", "GRCh38", "benign"))
+    assert sorted(r.rsid for r in read_clinvar(spark, str(tmp_path / "c.tsv")).collect()) == ["rs5", "rs6"]
+
+
 def test_loads(spark, tmp_path):
     clinvar, gwas = tables(spark, tmp_path)
     assert {(r.rsid, r.gene, r.clinical_significance) for r in annotation.last_by_rsid(clinvar).collect()} == {("rs1", "G1", "pathogenic"), ("rs3", None, None)}

@@ -21,7 +21,7 @@ def normal_clinvar(rows: DataFrame) -> DataFrame:
     text = lambda c: F.nullif(strip(F.col(c)), F.lit(""))
     number = strip(F.col("rs_num"))
     kept = rows.filter(~blank(number) & (number != "-1") & strip(F.col("assembly")).isin(*ASSEMBLIES))
-    return kept.select("ordinal", F.concat(F.lit("rs"), number).alias("rsid"), *[text(c).alias(c) for c in ("gene", "clinical_significance", "conditions", "review_status", "last_evaluated")])
+    return kept.select("ordinal", normal_rsid(number).alias("rsid"), *[text(c).alias(c) for c in ("gene", "clinical_significance", "conditions", "review_status", "last_evaluated")])
 
 
 def read_clinvar(spark: SparkSession, path: str) -> DataFrame:

@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 from .rules import gene, star_text
 
 # Messages by gene or rsID, phrases of a diagnosis, texts that are shown.
-_CANCER = "Variants in {} are associated with significantly elevated cancer risk. It is strongly recommended to discuss these results with a genetic counselor."
-_APOE = "APOE variants are associated with Alzheimer's disease risk. These results can have significant psychological impact. Consider speaking with a genetic counselor before reviewing."
-_LYNCH = "{} variants are associated with Lynch syndrome and hereditary cancer risk. Genetic counseling is strongly recommended."
 WARNINGS = {
-    "BRCA1": _CANCER.format("BRCA1"),
-    "BRCA2": _CANCER.format("BRCA2"),
-    "rs429358": _APOE,
-    "rs7412": _APOE,
+    "BRCA1": "Variants in BRCA1 are associated with significantly elevated cancer risk. It is strongly recommended to discuss these results with a genetic counselor.",
+    "BRCA2": "Variants in BRCA2 are associated with significantly elevated cancer risk. It is strongly recommended to discuss these results with a genetic counselor.",
+    "rs429358": "APOE variants are associated with Alzheimer's disease risk. These results can have significant psychological impact. Consider speaking with a genetic counselor before reviewing.",
+    "rs7412": "APOE variants are associated with Alzheimer's disease risk. These results can have significant psychological impact. Consider speaking with a genetic counselor before reviewing.",
     "TP53": "TP53 variants are associated with elevated cancer risk across multiple cancer types. Genetic counseling is strongly recommended.",
-    "MLH1": _LYNCH.format("MLH1"),
-    "MSH2": _LYNCH.format("MSH2"),
-    "MSH6": _LYNCH.format("MSH6"),
-    "PMS2": _LYNCH.format("PMS2"),
+    "MLH1": "MLH1 variants are associated with Lynch syndrome and hereditary cancer risk. Genetic counseling is strongly recommended.",
+    "MSH2": "MSH2 variants are associated with Lynch syndrome and hereditary cancer risk. Genetic counseling is strongly recommended.",
+    "MSH6": "MSH6 variants are associated with Lynch syndrome and hereditary cancer risk. Genetic counseling is strongly recommended.",
+    "PMS2": "PMS2 variants are associated with Lynch syndrome and hereditary cancer risk. Genetic counseling is strongly recommended.",
 }
 DIAGNOSTIC = (
     r"\byou have\b",
@@ -45,11 +42,32 @@ DISCLAIMER = (
 NO_CLINVAR = "No ClinVar data available for this variant."
 NO_GWAS = "No GWAS associations available for this variant."
 ADVICE = "Please consult a genetic counselor or healthcare provider for interpretation of these findings."
-REQUESTS = (
-    "A plain-English explanation of what this variant means",
-    "What the user's specific genotype ({genotype}) implies",
-    "Any relevant lifestyle, dietary, or environmental context from research",
-    "Important caveats and limitations",
+# Filled by format_string: rsID, genotype, gene, chromosome, position, ClinVar and GWAS lines.
+PROMPT = """Please explain the following genetic variant finding for the user:
+
+**Variant:** %1$s
+**User's Genotype:** %2$s
+**Gene:** %3$s
+**Chromosome:** %4$s, Position: %5$s
+
+**ClinVar Data:**
+%6$s
+
+**GWAS Associations:**
+%7$s
+
+Please provide:
+1. A plain-English explanation of what this variant means
+2. What the user's specific genotype (%2$s) implies
+3. Any relevant lifestyle, dietary, or environmental context from research
+4. Important caveats and limitations"""
+SYSTEM_PROMPT = (
+    "You are a genetics education assistant for {product}, an open-source genomics tool. Your role is to explain genetic variant findings in clear, accessible language. "
+    "You MUST: 1) Use plain English that a non-scientist can understand. 2) Explain what the variant means in practical terms. "
+    "3) Provide relevant lifestyle or dietary context from published research when applicable. 4) Always note limitations and uncertainties. "
+    "5) Never make definitive medical diagnoses. 6) Cite the source databases (ClinVar, GWAS Catalog) and relevant studies. "
+    "7) Recommend consulting a genetic counselor for clinically significant findings. Keep explanations concise (2-4 paragraphs). "
+    "Be warm, informative, and reassuring without minimizing genuine risks."
 )
 
 
@@ -66,7 +84,7 @@ def number_text(c: Column) -> Column:
     digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), r"0+$", "")
     digits = F.when(digits == "", "0").otherwise(digits)
     scientific = F.concat(
-        sign, F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.expr("''"), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""),
+        sign, F.substring(digits, 1, 1), F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise(""),
         F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
     )
     small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
@@ -126,15 +144,12 @@ def _facts(f) -> dict[str, Column]:
 def prompt(f=F.col) -> Column:
     """The request to a language model for one result; ``f`` gives its columns."""
     x = _facts(f)
-    asked = [y for n, r in enumerate(REQUESTS, 1) for y in ([F.lit(f"\n{n}. {r}")] if "{" not in r else [F.lit(f"\n{n}. {r.split('{')[0]}"), x["genotype"], F.lit(r.split("}")[1])])]
-    return F.concat(
-        F.lit("Please explain the following genetic variant finding for the user:\n\n**Variant:** "), x["rsid"],
-        F.lit("\n**User's Genotype:** "), x["genotype"], F.lit("\n**Gene:** "), x["gene"],
-        F.lit("\n**Chromosome:** "), x["chromosome"], F.lit(", Position: "), x["position"],
-        F.lit("\n\n**ClinVar Data:**\n"), clinvar_lines(f("clinvar")),
-        F.lit("\n\n**GWAS Associations:**\n"), gwas_lines(f("gwas")),
-        F.lit("\n\nPlease provide:"), *asked,
-    )
+    return F.format_string(PROMPT, x["rsid"], x["genotype"], x["gene"], x["chromosome"], x["position"], clinvar_lines(f("clinvar")), gwas_lines(f("gwas")))
+
+
+def system_prompt(product: str = "this library") -> Column:
+    """What goes before every request."""
+    return F.lit(SYSTEM_PROMPT.format(product=product))
 
 
 def fallback_text(f=F.col, reason: str = "AI explanations unavailable") -> Column:

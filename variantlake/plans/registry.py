@@ -50,7 +50,8 @@ def annotation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = annotation.lookup(derived.variants(spark, sf_dir), table(spark, sf_dir))
-    return found.select("rsid", F.size("clinvar").alias("n_clinvar"), F.size("gwas").alias("n_gwas"))
+    c, g = F.col("clinvar"), F.col("gwas")
+    return found.select("rsid", F.size(c).alias("n_clinvar"), F.size(g).alias("n_gwas"), texts.clinvar_lines(c).alias("clinvar_text"), texts.gwas_lines(g).alias("gwas_text"))
 
 
 def unannotated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +77,7 @@ def variant_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.top(results(spark, sf_dir)).select("sample_id", "rsid", texts.prompt().alias("prompt"))
+    return analysis.top(results(spark, sf_dir)).select("sample_id", "rsid", texts.system_prompt().alias("system"), texts.prompt().alias("prompt"))
 
 
 def fallback_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,8 +91,12 @@ def safe_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fallback_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the samples from S5 on only results outside the sections are given."""
-    return report.fallback_cards(results(spark, sf_dir).filter("sample_id < 'S5' OR category = 'Unknown'"))
+    """The samples from S5 on meet only annotations outside the sections, so their results
+    lie in none of them."""
+    calls, known = derived.variants(spark, sf_dir), table(spark, sf_dir)
+    early = analysis.analyze(calls.filter("sample_id < 'S5'"), known, include_benign=True)
+    late = analysis.analyze(calls.filter("sample_id >= 'S5'"), known.filter("category = 'Unknown'"), include_benign=True)
+    return report.fallback_cards(early.unionByName(late))
 
 
 def section_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +202,19 @@ def oracle_sql() -> dict[str, str]:
     titles = "(VALUES " + ", ".join(f"({n}, '{c}', '{t}', {_q(d)})" for n, c, t, d in report.SECTIONS) + ") s(section, category, title, description)"
     flagged = "regexp_matches(explanation, " + _q("|".join(texts.DIAGNOSTIC)) + ", 'i')"
     note = _q(texts.SAFETY_NOTE + "\n" + texts.NOTES_TITLE + "- " + texts.SAFETY_WARNING + "\n")
+    told = lambda c: f"coalesce(CAST({c} AS VARCHAR), 'None')"
+    of_clinvar = f"CASE WHEN has_c THEN '- ' || {told('cond')} || ': ' || {told('sig')} || ' (' || {star} || ' ' || {told('review_status')} || ')' ELSE {_q(texts.NO_CLINVAR)} END"
+    odds = "CASE WHEN coalesce(x.odds_ratio, '') <> '' THEN ', Odds Ratio = ' || x.odds_ratio ELSE '' END"
+    of_gwas = f"CASE WHEN len(g) > 0 THEN array_to_string(list_transform(g, lambda x: '- ' || {told('x.trait')} || ': p-value = ' || {told('x.p_value')} || {odds} || ' (Mixed ancestry)'), chr(10)) ELSE {_q(texts.NO_GWAS)} END"
+    facts = ["rsid", "genotype", "coalesce(gene, 'Unknown')", "chromosome", "CAST(position AS VARCHAR)", of_clinvar, of_gwas]
+    request = _q(texts.PROMPT)
+    for n, fact in enumerate(facts, 1):
+        request = request.replace(f"%{n}$s", f"' || {fact} || '")
+    shown = f"""'Explanation: AI explanations unavailable' || repeat(chr(10), 2) || 'Raw variant data:' || chr(10) || '- rsID: ' || rsid || chr(10) || '- Gene: ' || {facts[2]} || chr(10)
+      || '- Chromosome: ' || chromosome || ', Position: ' || position || chr(10) || '- Genotype: ' || genotype
+      || CASE WHEN has_c THEN repeat(chr(10), 2) || 'ClinVar Information:' || chr(10) || '  - ' || {told('cond')} || ': ' || {told('sig')} ELSE '' END
+      || CASE WHEN len(g) > 0 THEN repeat(chr(10), 2) || 'GWAS Associations:' || chr(10) || array_to_string(list_transform(g, lambda x: '  - ' || {told('x.trait')} || ': p-value = ' || {told('x.p_value')}), chr(10)) ELSE '' END
+      || repeat(chr(10), 2) || {_q(texts.ADVICE)}"""
     return {
         "parse_23andme": parsed,
         "parse_ancestry": parsed,
@@ -207,7 +225,7 @@ def oracle_sql() -> dict[str, str]:
             QUALIFY row_number() OVER (PARTITION BY rsid ORDER BY ordinal % 4 >= 1 DESC, ordinal DESC) = 1""",
         "gwas_table": f"WITH {_GWAS} SELECT * FROM gwas",
         "annotation_table": f"WITH {_TABLE} SELECT rsid, n_clinvar, n_gwas, significance_rank, category, gene, conditions FROM shown",
-        "lookup": f"WITH {_TABLE}, {_VARIANTS} SELECT v.rsid, coalesce(n_clinvar, 0) AS n_clinvar, coalesce(n_gwas, 0) AS n_gwas FROM (SELECT DISTINCT rsid FROM variants) v LEFT JOIN shown ON v.rsid = shown.rsid",
+        "lookup": f"WITH {_TABLE}, {_VARIANTS} SELECT v.rsid, coalesce(n_clinvar, 0) AS n_clinvar, coalesce(n_gwas, 0) AS n_gwas, CASE WHEN s.rsid IS NULL THEN {_q(texts.NO_CLINVAR)} ELSE {of_clinvar} END AS clinvar_text, CASE WHEN s.rsid IS NULL THEN {_q(texts.NO_GWAS)} ELSE {of_gwas} END AS gwas_text FROM (SELECT DISTINCT rsid FROM variants) v LEFT JOIN shown s ON v.rsid = s.rsid",
         "store_statistics": f"WITH {_CLINVAR}, {_GWAS} SELECT c AS clinvar_rows, n AS genes, g AS gwas_rows, c + g AS total_rows FROM (SELECT count(*) AS c, count(DISTINCT gene) AS n FROM clinvar), (SELECT count(*) AS g FROM gwas)",
         "analyze": _results() + flat,
         "analyze_with_benign": _results("true") + flat,
@@ -229,6 +247,8 @@ def oracle_sql() -> dict[str, str]:
         "safe_explanations": f"WITH {sql('texts')} SELECT doc_id, coalesce({flagged}, false) AS flagged, explanation || CASE WHEN {flagged} THEN {note} ELSE '' END || {_q(texts.DISCLAIMER.format(product='This library'))} AS shown FROM texts",
         "report_sections": _results() + f"SELECT sample_id, category, n, section, title, description FROM counts JOIN {titles} USING (category)",
         "section_cards": _results() + f"SELECT {cards} FROM placed WHERE place <= 100 AND category IN {in_sections}",
-        "fallback_cards": _results() + f", given AS (SELECT * FROM results WHERE sample_id < 'S5' OR category = 'Unknown') SELECT {cards} FROM given WHERE result_order <= 100 AND sample_id NOT IN (SELECT sample_id FROM given WHERE category IN {in_sections})",
+        "fallback_cards": _results("sample_id < 'S5' OR category = 'Unknown'") + f"SELECT {cards} FROM results WHERE result_order <= 100 AND sample_id NOT IN (SELECT sample_id FROM results WHERE category IN {in_sections})",
+        "prompts": _results() + f"SELECT sample_id, rsid, {_q(texts.SYSTEM_PROMPT.format(product='this library'))} AS system, {request} AS prompt FROM results WHERE result_order <= 20",
+        "fallback_texts": _results() + f"SELECT sample_id, rsid, {shown} AS explanation FROM results",
         "flat_results": _results() + "SELECT sample_id, result_order AS significance_order, rsid, genotype, category, significance_rank, coalesce(gene, '-') AS gene, conditions FROM results WHERE result_order <= 100",
     }

@@ -24,8 +24,21 @@ def _is_integer(c: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``file, ordinal, line``; a missing path raises."""
-    return numbered(spark.read.text(paths).select("value", "_metadata"))
+    """``file, ordinal, line``; a missing path or an empty file raises."""
+    lines = spark.read.text(paths)
+    _raise_if_empty(spark, [paths] if isinstance(paths, str) else paths)
+    return numbered(lines.select("value", "_metadata"))
+
+
+def _raise_if_empty(spark: SparkSession, paths: list[str]) -> None:
+    """Scans pass over files of no bytes, so the listing has to tell them."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in fs.globStatus(at) or []:
+            for f in fs.listStatus(found.getPath()):
+                if f.isFile() and not f.getLen() and f.getPath().getName()[0] not in "._":
+                    raise ValueError(f"Empty genotype file: {f.getPath()}")
 
 
 def numbered(lines: DataFrame) -> DataFrame:

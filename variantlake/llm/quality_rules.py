@@ -82,7 +82,8 @@ def document_metrics(docs: DataFrame, id_col: str, text_col: str, host_col: str)
 def host_table(metrics: DataFrame) -> DataFrame:
     """A row per host: its documents, failures and shrunken rate by rule, host_rejected.
 
-    The prior comes back to the driver as one row: mean and variance of the rates.
+    The prior comes back to the driver as one row: mean and variance of the rates, and
+    the mean of 1 / n, by which the noise of small hosts is told from spread.
     """
     counts = written(
         metrics.filter("host is not null")
@@ -91,22 +92,27 @@ def host_table(metrics: DataFrame) -> DataFrame:
         "hosts",
     )
     rate = {r: F.col(f"{r}_failed") / F.col("n") for r in RULES}
-    moments = counts.agg(*[x for r in RULES for x in (F.avg(rate[r]).alias(f"{r}_m"), F.var_samp(rate[r]).alias(f"{r}_v"))]).first()
+    noise = F.avg(1 / F.col("n")).alias("noise")
+    moments = counts.agg(noise, *[x for r in RULES for x in (F.avg(rate[r]).alias(f"{r}_m"), F.var_samp(rate[r]).alias(f"{r}_v"))]).first()
     out = counts
     for r in RULES:
-        a, b = beta_prior(moments[f"{r}_m"], moments[f"{r}_v"])
+        a, b = beta_prior(moments[f"{r}_m"], moments[f"{r}_v"], moments["noise"])
         out = out.withColumn(f"{r}_rate", (F.col(f"{r}_failed") + F.lit(a)) / (F.col("n") + F.lit(a + b)))
     over = F.greatest(*[F.col(f"{r}_rate") for r in RULES]) > HOST_LIMIT
     return out.withColumn("host_rejected", over)
 
 
-def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
-    """Parameters of the beta distribution with these moments; a weak prior at the
-    mean where the hosts do not differ (or there is one host only)."""
+def beta_prior(mean: float | None, variance: float | None, noise: float | None) -> tuple[float, float]:
+    """Parameters of a beta-binomial's prior by moments: a host's rate varies by
+    m (1 - m) (s + (1 - s) / n), where s is the spread of the hosts' own rates and
+    ``noise`` the mean of 1 / n. The prior is strong where hosts differ by noise only, and
+    weak where that cannot be told (one host, or one document a host)."""
     m = min(max(mean if mean is not None else 0.5, 1e-6), 1 - 1e-6)
-    most = m * (1 - m)
-    v = variance if variance and variance == variance and variance < most else most / 3
-    strength = min(max(most / max(v, 1e-9) - 1, 2.0), 1e4)
+    if variance is None or noise is None or noise > 1 - 1e-9:
+        strength = 2.0
+    else:
+        spread = (variance / (m * (1 - m)) - noise) / (1 - noise)
+        strength = min(max(1 / max(spread, 1e-9) - 1, 2.0), 1e4)
     return m * strength, (1 - m) * strength
 
 

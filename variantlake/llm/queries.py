@@ -69,8 +69,41 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op4_segmentation_sampling, op5_quality_rules, op6_pii_surrogates, op7_secret_scan, op8_language_id, op9_url_filter, op10_exact_dedup)}
 
 
+def _op5_sql() -> str:
+    """Measures of whole texts, hosts' failures, beta priors by moments, verdicts."""
+    q = quality_rules
+    word = r"[^\x20\x09-\x0D]"
+    failed = {
+        "short": f"n_words < {q.MIN_WORDS}",
+        "repeat": f"100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words",
+        "symbol": f"n_symbols > {q.MAX_SYMBOLS_PER_WORD} * n_words",
+        "lines": f"n_dup_lines > {q.MAX_DUP_LINES}",
+    }
+    spread = lambda r: f"(v_{r} / (m_{r} * (1 - m_{r})) - noise) / (1 - noise)"
+    strength = lambda r: f"CASE WHEN v_{r} IS NULL OR noise > 1 - 1e-9 THEN 2.0 ELSE least(greatest(1 / greatest({spread(r)}, 1e-9) - 1, 2.0), 1e4) END"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+          w AS (SELECT *, regexp_extract_all(t, '{word}+') AS ws FROM d),
+          i AS (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w),
+          again AS (SELECT r, i FROM i QUALIFY count(*) OVER (PARTITION BY r, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) > 1),
+          repeats AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (VALUES (0), (1), (2)) o(k) GROUP BY r),
+          m AS (SELECT doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+                       length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(repeats.n, 0) AS n_repeat_words,
+                       CAST(len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{word}')))) AS BIGINT) AS n_dup_lines
+                FROM w LEFT JOIN repeats ON w.r = repeats.r),
+          h AS (SELECT host, count(*) AS n, {", ".join(f"count(*) FILTER ({x}) AS k_{r}" for r, x in failed.items())} FROM m WHERE host IS NOT NULL GROUP BY host),
+          o AS (SELECT avg(1 / n) AS noise, {", ".join(f"least(greatest(avg(k_{r} / n), 1e-6), 1 - 1e-6) AS m_{r}, var_samp(k_{r} / n) AS v_{r}" for r in failed)} FROM h),
+          s AS (SELECT *, {", ".join(f"{strength(r)} AS s_{r}" for r in failed)} FROM o),
+          verdicts AS (SELECT host, greatest({", ".join(f"(k_{r} + m_{r} * s_{r}) / (n + s_{r})" for r in failed)}) > {q.HOST_LIMIT} AS host_rejected FROM h, s)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {failed["short"]} OR {failed["repeat"]} AS base_failed,
+               coalesce(host_rejected, false) AS host_rejected, NOT ({failed["short"]} OR {failed["repeat"]} OR coalesce(host_rejected, false)) AS kept
+        FROM m LEFT JOIN verdicts ON m.host = verdicts.host
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_quality_rules": _op5_sql(),
         "op10_exact_dedup": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
                  g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

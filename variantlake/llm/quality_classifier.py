@@ -1,18 +1,21 @@
 """A quality classifier by compression.
 
-Two zstandard dictionaries are built from labelled text, one from good and one from
-bad documents. A text is compressed with either; the difference of the two sizes
-over their sum, and the size against the text's own length, go through a logistic
-curve fitted to labelled texts (calibration). Texts of the calibration are not the
-ones the dictionaries were built from, where there are enough.
-
-The fit takes at most ``FIT_ROWS`` labelled rows of each class, the first by a hash of
-the id; everything else is scored, and only by its text.
-
-Defined cases: null and empty texts get the curve's value at zero features; with no
-labelled row of one class every score is the share of good labels (0.5 without
-labels); repeated rows are scored one by one; an empty table gives an empty result;
-other columns are ignored, whatever their names.
+Two zstandard dictionaries of one size are made of labelled texts, one of good and one of
+bad ones. A text is compressed with either; the difference of the two sizes over their
+sum goes through a logistic curve fitted to other labelled texts, weighed by the true
+shares of the labels, so the score is a probability.
+
+The fit takes at most ``FIT_ROWS`` labelled ids of each class, the first by a hash of the
+id, with one text each, and of these the texts of at most ``FIT_CHARS`` characters: at
+most 2 * FIT_ROWS * FIT_CHARS characters come to the driver. Everything is scored, by its
+whole text.
+
+Defined cases: null and empty texts have no difference, so they get the curve's value at
+zero; with no usable labelled text of one class every score is the share of good labels
+(0.5 without labels); an id with both labels counts in both classes; repeated rows are
+scored one by one, and of rows that share an id the fit takes one text; very long texts
+are scored whole; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,14 +33,18 @@ from .common import fold
 
 #: Labelled rows per class that the fit takes at most.
 FIT_ROWS = 2_000
-DICTIONARY_BYTES = 112 << 10
-LEVEL = 3
+#: Characters of a text that the fit takes at most; longer ones do not take part in it.
+FIT_CHARS = 50_000
+#: Bytes of a dictionary at most.
+DICTIONARY_BYTES = 512 << 10
+LEVEL = 12
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
+SCALE = 20  # puts differences near one, for the fit
 
 
 class Model:
-    """Two dictionaries and a calibration; small enough to send with a task."""
+    """Two dictionaries and the curve's two weights: a megabyte, sent with a task."""
 
     def __init__(self, good: bytes, bad: bytes, weights: list[float]):
         self.good, self.bad, self.weights = good, bad, weights
@@ -45,7 +52,7 @@ class Model:
     def score(self, text: str | None) -> float:
         if not self.good or not self.bad:
             return self.weights[0]
-        z = sum(w * x for w, x in zip(self.weights, features(self.good, self.bad, text)))
+        z = self.weights[0] + self.weights[1] * SCALE * difference(self.good, self.bad, text)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -57,72 +64,76 @@ def _compressors(good: bytes, bad: bytes) -> tuple:
     return tuple(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False) for d in made)
 
 
-def features(good: bytes, bad: bytes, text: str | None) -> tuple[float, ...]:
-    """1, the normalised difference of the compressed sizes, and the size over the
-    text's length, as its distance from ordinary text's."""
+def difference(good: bytes, bad: bytes, text: str | None) -> float:
+    """How much smaller a text gets with the good dictionary than with the bad one, over
+    the sum of both sizes."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:
-        return 1.0, 0.0, 0.0, 0.0
+        return 0.0
     by_good, by_bad = (len(c.compress(data)) for c in _compressors(good, bad))
-    difference = (by_bad - by_good) / (by_bad + by_good)
-    ratio = min(by_good, by_bad) / len(data)
-    return 1.0, 20 * difference, 5 * (ratio - 0.4), 5 * min(0.0, ratio - 0.25)
+    return (by_bad - by_good) / (by_bad + by_good)
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    """A dictionary's content: pieces that the trainer found worth keeping, or the
-    texts themselves where there are too few to train on."""
-    samples = [x.encode("utf-8", "surrogatepass") for x in texts if x]
-    try:
-        return zstd.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstd.ZstdError:
-        return b"".join(samples)[-DICTIONARY_BYTES:]
+def _dictionaries(good: list[str], bad: list[str]) -> tuple[bytes, bytes]:
+    """The texts one after the other, as many bytes of either class."""
+    joined = [b"".join(x.encode("utf-8", "surrogatepass") for x in texts) for texts in (good, bad)]
+    size = min(DICTIONARY_BYTES, *map(len, joined))
+    return tuple(x[len(x) - size :] for x in joined)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Newton's method with a small ridge; the classes weigh the same."""
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-6, rounds: int = 50) -> np.ndarray:
+    """Weighted logistic regression by Newton's method with a small ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (weight * (y - p)) - ridge * w
         bend = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        step = np.linalg.solve(bend, slope)
-        w += step
+        a, b, c = bend[0, 0], bend[0, 1], bend[1, 1]
+        step = np.array([c * slope[0] - b * slope[1], a * slope[1] - b * slope[0]]) / (a * c - b * b)
+        w += np.clip(step, -5.0, 5.0)
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def fit(labelled: list[tuple[str, int]]) -> Model:
-    """A model from (text, 1 if good else 0)."""
-    by = {k: [x for x, y in labelled if y == k] for k in (0, 1)}
+def fit(labelled: list[tuple[str, int]], good_share: float | None = None) -> Model:
+    """A model from (text, 1 if good else 0); ``good_share`` is the share of good labels,
+    by default that of ``labelled``."""
+    by = {k: [x for x, y in labelled if y == k and x] for k in (0, 1)}
+    if good_share is None:
+        good_share = sum(y for _, y in labelled) / len(labelled) if labelled else 0.5
     if not by[0] or not by[1]:
-        return Model(b"", b"", [len(by[1]) / len(labelled) if labelled else 0.5])
+        return Model(b"", b"", [good_share])
     build = {k: v[: max(1, len(v) // 2)] for k, v in by.items()}
     rest = [(x, k) for k, v in by.items() for x in (v[len(v) // 2 :] or v)]
-    good, bad = _dictionary(build[1]), _dictionary(build[0])
-    x = np.array([features(good, bad, t) for t, _ in rest])
-    return Model(good, bad, _logistic(x, np.array([k for _, k in rest], float)).tolist())
+    good, bad = _dictionaries(build[1], build[0])
+    y = np.array([k for _, k in rest], float)
+    weight = np.where(y > 0, good_share / y.sum(), (1 - good_share) / (1 - y).sum()) * len(y)
+    x = np.array([(1.0, SCALE * difference(good, bad, t)) for t, _ in rest])
+    return Model(good, bad, _logistic(x, y, weight).tolist())
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled rows of each class, held-out fold excluded.
-
-    The rows are picked from the labels alone, so only their texts are read."""
-    learn = labels.filter(F.col(label_col).isin(0, 1) & (fold(id_col, FOLDS) != HELD_OUT)).select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).distinct()
+    """Fit on at most ``rows`` labelled ids of each class, held-out fold excluded.
+
+    The ids are picked from the labels alone. Each class is thinned by the ids' hash to
+    little more than ``rows`` where its rows lie, so that none is gathered whole."""
+    learn = labels.filter(F.col(label_col).isin(0, 1) & (fold(id_col, FOLDS) != HELD_OUT)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+    learn = learn.withColumn("hash", F.xxhash64("id"))
+    counts = {r["y"]: r["n"] for r in learn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+    if len(counts) < 2:
+        return fit([], float(next(iter(counts), 0.5)))
+    share = {k: (rows + 6 * math.sqrt(rows) + 20) / n for k, n in counts.items()}
+    unit = F.shiftrightunsigned("hash", 11) * F.lit(2.0**-53)
+    thin = learn.filter(unit <= F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
     picked = (
-        learn.withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")))
-        .filter(F.col("nth") <= rows).select("id", "y")
+        thin.withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy("hash", "id")))
+        .filter(F.col("nth") <= rows).select("id", "y", "hash")
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = texts.join(F.broadcast(picked), "id").select("id", "text", "y").collect()  # at most 2 * rows
-    return fit([(r["text"] or "", r["y"]) for r in sorted(found, key=lambda r: (r["y"], hash_order(r["id"]), r["text"] or ""))])
-
-
-def hash_order(doc_id: int) -> int:
-    """A fixed order that is unlike the order of ids."""
-    return (int(doc_id) * 0x9E3779B97F4A7C15) & (2**64 - 1)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= FIT_CHARS)
+    found = texts.join(F.broadcast(picked), "id").groupBy("y", "hash", "id").agg(F.min("text").alias("text")).collect()  # at most 2 * rows
+    order = sorted(found, key=lambda r: (r["y"], r["hash"], r["id"]))
+    return fit([(r["text"], r["y"]) for r in order], counts[1] / (counts[0] + counts[1]))
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

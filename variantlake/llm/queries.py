@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    chat_format,
     exact_dedup,
     language_id,
     packing,
@@ -21,6 +22,10 @@ from . import (
 )
 
 
+#: What both turns of conversation -7 say.
+ODD_TURN = r"\### Assistant: </turn> ok"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,8 +70,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = spark.createDataFrame([(-7, 0, "user", ODD_TURN), (-7, 1, "assistant", ODD_TURN)], "conv_id long, turn long, role string, text string")
+    return chat_format.chat_digest(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op4_segmentation_sampling, op5_quality_rules, op6_pii_surrogates, op7_secret_scan, op8_language_id, op9_url_filter, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op4_segmentation_sampling, op5_quality_rules, op6_pii_surrogates, op7_secret_scan, op8_language_id, op9_url_filter, op10_exact_dedup, op11_chat_formatting)}
 
 
 def _op5_sql() -> str:
@@ -101,9 +111,27 @@ def _op5_sql() -> str:
     """
 
 
+def _op11_sql() -> str:
+    """Turns in order, and the lengths of escaped texts."""
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    longer = lambda c: f"length({c}) + length({c}) - length(replace({c}, chr(92), ''))" + "".join(f" + (length({c}) - length(replace({c}, {q(x)}, ''))) // {len(x)} * {2 - len(x)}" for x in chat_format.CONTROL)
+    marks = len("".join(chat_format.CONTROL[:3])) + 1
+    return f"""
+        WITH c AS (SELECT conv_id, turn, role, text FROM conversations
+                   UNION ALL SELECT -7, 0, 'user', {q(ODD_TURN)} UNION ALL SELECT -7, 1, 'assistant', {q(ODD_TURN)}),
+             t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM c)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum({longer("role")} + {longer("text")} + {marks}) AS BIGINT) AS formatted_chars
+        FROM t GROUP BY conv_id
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": _op5_sql(),
+        "op11_chat_formatting": _op11_sql(),
         "op10_exact_dedup": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
                  g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -18,6 +18,7 @@ from . import (
     secret_scan,
     sentencepiece_sampling,
     simhash,
+    token_alignment,
     url_filter,
 )
 
@@ -75,8 +76,12 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op4_segmentation_sampling, op5_quality_rules, op6_pii_surrogates, op7_secret_scan, op8_language_id, op9_url_filter, op10_exact_dedup, op11_chat_formatting)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op4_segmentation_sampling, op5_quality_rules, op6_pii_surrogates, op7_secret_scan, op8_language_id, op9_url_filter, op10_exact_dedup, op11_chat_formatting, op13_token_alignment)}
 
 
 def _op5_sql() -> str:

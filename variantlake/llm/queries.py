@@ -15,6 +15,7 @@ from . import (
     pii,
     quality_classifier,
     quality_rules,
+    ranked_search,
     secret_scan,
     sentencepiece_sampling,
     simhash,
@@ -76,12 +77,16 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.chat_digest(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(odd))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(ranked_search.index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignment_digest(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op4_segmentation_sampling, op5_quality_rules, op6_pii_surrogates, op7_secret_scan, op8_language_id, op9_url_filter, op10_exact_dedup, op11_chat_formatting, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality_classifier, op4_segmentation_sampling, op5_quality_rules, op6_pii_surrogates, op7_secret_scan, op8_language_id, op9_url_filter, op10_exact_dedup, op11_chat_formatting, op12_ranked_search, op13_token_alignment)}
 
 
 def _op5_sql() -> str:
@@ -133,10 +138,29 @@ def _op11_sql() -> str:
     """
 
 
+def _op12_sql() -> str:
+    """Scores of all pairs of an item and a document that share a term."""
+    upper = "".join(map(chr, range(65, 91)))
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '{ranked_search.TERM}')"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS ts FROM documents),
+             c AS (SELECT count(*) AS docs, CAST(sum(len(ts)) AS BIGINT) AS terms FROM d WHERE len(ts) > 0),
+             tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+             df AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY t, docs),
+             i AS (SELECT row_number() OVER () AS q, item_id, {words} AS ts FROM benchmark),
+             it AS (SELECT q, unnest(list_distinct(ts)) AS t FROM i),
+             s AS (SELECT q, tf.r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(d.ts) * docs) // terms)))) AS BIGINT) AS score
+                   FROM it JOIN df ON it.t = df.t JOIN tf ON it.t = tf.t JOIN d ON tf.r = d.r, c GROUP BY q, tf.r)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY s.q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+        FROM s JOIN d ON s.r = d.r JOIN i ON s.q = i.q WHERE score > 0 QUALIFY rank <= {ranked_search.TOP}
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": _op5_sql(),
         "op11_chat_formatting": _op11_sql(),
+        "op12_ranked_search": _op12_sql(),
         "op10_exact_dedup": """
             WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
                  g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

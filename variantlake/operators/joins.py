@@ -9,8 +9,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def fits(small: DataFrame) -> bool:
+    return small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def join_checked(big: DataFrame, small: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
     """``big`` joined to ``small``, which is broadcast if it is small enough; else AQE
     splits the partitions of frequent keys."""
-    fits = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return big.join(F.broadcast(small) if fits else small, key, how)
+    return big.join(F.broadcast(small) if fits(small) else small, key, how)
+
+
+def held_if_small(df: DataFrame) -> tuple[DataFrame, bool]:
+    """Rows that are used again, computed once: held in the plan up to ``BROADCAST_ROWS``
+    rows, else as they are. Also says which."""
+    rows = df.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return df, False
+    return df.sparkSession.createDataFrame(rows, df.schema).hint("broadcast"), True
+

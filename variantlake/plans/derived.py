@@ -3,7 +3,7 @@ tables yield by expressions which Spark SQL and DuckDB read alike."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import SIGNIFICANCE_RANKS, REVIEW_STARS
@@ -74,16 +74,22 @@ def gwas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normal_gwas(rows(spark, sf_dir, "raw_gwas").withColumn("p_value", F.col("p_value").cast("string")))
 
 
-def genotype_lines(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
-    """The calls as lines of a genotype file, one file a sample."""
-    forms = {
-        "23andme": "concat_ws('\t', rsid, chromosome, position, genotype)",
-        "ancestry": "concat_ws('\t', rsid, chromosome, position, substr(genotype, 1, 1), substr(genotype, 2, 1))",
-        "vcf": "concat_ws('\t', chromosome, position, rsid, 'A', 'G,T', '.', '.', '.', 'GT:DP', CASE genotype WHEN 'AA' THEN '0/0:9' WHEN 'AG' THEN '1|0:9' WHEN 'GG' THEN '1' WHEN 'CT' THEN '2/1:7' ELSE './.:0' END)",
-    }
-    heads = {"23andme": ["# rsid\tchromosome\tposition\tgenotype"], "ancestry": ["#export", "rsid\tchromosome\tposition\tallele1\tallele2"], "vcf": ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"]}
-    calls = rows(spark, sf_dir, "variants")
+_LINE_FORMS = {
+    "23andme": "concat_ws('\t', rsid, chromosome, position, genotype)",
+    "ancestry": "concat_ws('\t', rsid, chromosome, position, substr(genotype, 1, 1), substr(genotype, 2, 1))",
+    "vcf": "concat_ws('\t', chromosome, position, rsid, 'A', 'G,T', '.', '.', '.', 'GT:DP', CASE genotype WHEN 'AA' THEN '0/0:9' WHEN 'AG' THEN '1|0:9' WHEN 'GG' THEN '1' WHEN 'CT' THEN '2/1:7' ELSE './.:0' END)",
+}
+_LINE_HEADS = {"23andme": ["# rsid\tchromosome\tposition\tgenotype"], "ancestry": ["#export", "rsid\tchromosome\tposition\tallele1\tallele2"], "vcf": ["##fileformat=VCFv4.2", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1"]}
+
+
+def genotype_lines(spark: SparkSession, sf_dir: str, layout: str | None = None) -> DataFrame:
+    """The calls as lines of genotype files, one file a sample; without a layout the samples
+    have the three in turn."""
+    forms = list(_LINE_FORMS)
+    calls = rows(spark, sf_dir, "variants").withColumn("form", F.lit(layout) if layout else F.get(F.array(*map(F.lit, forms)), F.substring("sample_id", 2, 9).cast("int") % len(forms)))
     place = lambda seq: F.struct(F.lit(0).cast("bigint").alias("block_start"), seq.cast("bigint").alias("seq")).alias("ordinal")
-    data = calls.select(F.col("sample_id").alias("file"), place(F.col("ordinal")), F.expr(forms[layout]).alias("line"))
-    head = calls.select(F.col("sample_id").alias("file")).distinct().select("file", F.posexplode(F.array(*[F.lit(h) for h in heads[layout]])).alias("n", "line"))
-    return head.select("file", place(F.col("n") - 10), "line").unionByName(data)
+    pick = lambda of: F.coalesce(*[F.when(F.col("form") == f, of(f)) for f in forms])
+    nth = F.row_number().over(Window.partitionBy("sample_id").orderBy("ordinal")) + 1
+    data = calls.select(F.col("sample_id").alias("file"), place(F.col("ordinal")), pick(lambda f: F.expr(_LINE_FORMS[f])).alias("line"), nth.cast("bigint").alias("nth"))
+    head = calls.select(F.col("sample_id").alias("file"), "form").distinct().select("file", F.posexplode(pick(lambda f: F.array(*[F.lit(h) for h in _LINE_HEADS[f]]))).alias("n", "line"))
+    return head.select("file", place(F.col("n") - 10), "line", F.col("n").cast("bigint").alias("nth")).unionByName(data)

@@ -28,7 +28,7 @@ def _flat_results(df: DataFrame) -> DataFrame:
     return df.select("sample_id", "rsid", "chromosome", "position", "genotype", "category", "significance_rank", F.size("clinvar").alias("n_clinvar"), F.size("gwas").alias("n_gwas"), "result_order")
 
 
-def _parsed(layout: str) -> Query:
+def _parsed(layout: str | None) -> Query:
     return lambda s, d: parse(derived.genotype_lines(s, d, layout)).select("sample_id", F.col("ordinal.seq").alias("ordinal"), "rsid", "chromosome", "position", "genotype")
 
 
@@ -109,6 +109,7 @@ def queries() -> dict[str, Query]:
         "parse_23andme": _parsed("23andme"),
         "parse_ancestry": _parsed("ancestry"),
         "parse_vcf": _parsed("vcf"),
+        "parse_mixed": _parsed(None),
         "clinvar_table": clinvar_table,
         "clinvar_upsert": clinvar_upsert,
         "gwas_table": lambda s, d: derived.gwas(s, d).drop("pubmed_id", "link"),
@@ -219,6 +220,7 @@ def oracle_sql() -> dict[str, str]:
         "parse_23andme": parsed,
         "parse_ancestry": parsed,
         "parse_vcf": parsed.replace("position, genotype FROM", "position, CASE genotype WHEN 'CT' THEN 'GT' ELSE genotype END AS genotype FROM"),
+        "parse_mixed": parsed.replace("position, genotype FROM", "position, CASE WHEN genotype = 'CT' AND CAST(substr(sample_id, 2) AS INTEGER) % 3 = 2 THEN 'GT' ELSE genotype END AS genotype FROM"),
         "clinvar_table": f"WITH {_CLINVAR} SELECT rsid, gene, clinical_significance, conditions, review_status FROM clinvar",
         "clinvar_upsert": f"""WITH {_CLINVAR}
             SELECT rsid, gene, clinical_significance, conditions, review_status FROM lines

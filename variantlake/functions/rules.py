@@ -85,21 +85,42 @@ def weighted_rank(significance: Column, stars: Column, has_gwas: Column) -> Colu
     )
 
 
-def category(significance: Column, gwas: Column) -> Column:
-    """From the significance; else the first GWAS entry with a telling trait decides."""
+def _has(c: Column, *words: str) -> Column:
+    return F.coalesce(c.rlike("|".join(words)), F.lit(False))
+
+
+def trait_category(trait: Column) -> Column:
+    """What a GWAS trait tells of the category; null where it tells nothing."""
+    t = F.lower(trait)
+    return F.when(_has(t, "drug", "pharmacogenom", "medication", "response"), "Pharmacogenomics").when(_has(t, "risk", "association"), "Risk Factors")
+
+
+def category_of(significance: Column, has_gwas: Column, first_told: Column) -> Column:
+    """From the significance; else what the first telling trait tells decides."""
     sig = F.lower(significance)
-    has = lambda c, *words: F.coalesce(c.rlike("|".join(words)), F.lit(False))
-    of_trait = lambda e: F.when(has(F.lower(e["trait"]), "drug", "pharmacogenom", "medication", "response"), "Pharmacogenomics").when(has(F.lower(e["trait"]), "risk", "association"), "Risk Factors")
-    first = F.get(F.filter(F.transform(gwas, of_trait), lambda x: x.isNotNull()), F.lit(0))
     return (
-        F.when(has(sig, "pathogenic"), "Health Conditions")
-        .when(has(sig, "risk factor", "risk_factor", "association"), "Risk Factors")
-        .when(has(sig, "benign"), "Carrier Status")
-        .when(F.size(gwas) > 0, F.coalesce(first, F.lit("Traits")))
+        F.when(_has(sig, "pathogenic"), "Health Conditions")
+        .when(_has(sig, "risk factor", "risk_factor", "association"), "Risk Factors")
+        .when(_has(sig, "benign"), "Carrier Status")
+        .when(has_gwas, F.coalesce(first_told, F.lit("Traits")))
         .otherwise("Unknown")
     )
 
 
+def category(significance: Column, gwas: Column) -> Column:
+    told = F.filter(F.transform(gwas, lambda e: trait_category(e["trait"])), lambda x: x.isNotNull())
+    return category_of(significance, F.size(gwas) > 0, F.get(told, F.lit(0)))
+
+
+def is_strong(significance: Column) -> Column:
+    return F.coalesce(F.lower(significance).contains("pathogenic"), F.lit(False))
+
+
+def is_strong_p(p: Column) -> Column:
+    """The written exponent lies below -5."""
+    return F.coalesce((p > 0) & (p < F.lit(1e-5)), F.lit(False))
+
+
 def gene(clinvar: Column, gwas: Column, default: str | None = None) -> Column:
     """The ClinVar gene where there is an entry (no fallback), else the first mapped one."""
     found = F.when(F.size(clinvar) > 0, F.get(clinvar, F.lit(0))["gene"]).otherwise(F.get(gwas, F.lit(0))["mapped_gene"])

@@ -1,16 +1,19 @@
 """A cohort's results: calls met with annotations, ranked and counted.
 
-Samples are the unit of order, so every window and count partitions by sample.
+Samples are the unit of order, so windows and counts partition by sample, or by parts of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import BENIGN_FROM, SIGNIFICANT_TO, is_high_impact_gene
+from ..functions.rules import BENIGN_FROM, SIGNIFICANT_TO, is_high_impact_gene, is_strong, is_strong_p
+from .joins import held_if_small, may_be_in
 
 TOP, TOP_WEB, TOP_SECTION = 20, 50, 100
+#: A cell of a huge sample has so many ordinals at most, as a power of two.
+CELL_BITS = 16
 
 
 def collapse(variants: DataFrame) -> DataFrame:
@@ -21,19 +24,64 @@ def collapse(variants: DataFrame) -> DataFrame:
     return kept.agg(F.min("ordinal").alias("first_ordinal"), F.max_by(call, "ordinal").alias("c")).select("sample_id", "rsid", "first_ordinal", "c.*")
 
 
-def analyze(variants: DataFrame, table: DataFrame, include_benign: bool = False, traits_only: bool = False) -> DataFrame:
-    """Annotated calls in result order: ``result_order`` counts from 1 in each sample."""
-    found = collapse(variants).join(table, "rsid")
-    if not include_benign:
-        found = found.filter(F.col("significance_rank") < BENIGN_FROM)
-    if traits_only:
-        found = found.filter(F.col("category") == "Traits")
+def met(variants: DataFrame, slim: DataFrame) -> DataFrame:
+    """Collapsed calls that have an annotation, with its columns. Other calls go before any
+    shuffle: by a broadcast of the annotated rsIDs where they are few, by a Bloom filter
+    where they are many."""
+    slim, held = held_if_small(slim)
+    if held:
+        return collapse(variants.join(slim.select("rsid"), "rsid", "left_semi")).join(slim, "rsid")
+    return collapse(variants.filter(may_be_in("rsid", slim, slim.count()))).join(slim, "rsid")
+
+
+def _coarse(ordinal: Column, kind: str) -> Column:
+    """A part of the order that holds ``2 ** CELL_BITS`` ordinals at most."""
+    if kind.startswith("struct"):
+        return F.struct(ordinal["block_start"], F.shiftright(ordinal["seq"], CELL_BITS))
+    return F.shiftright(ordinal.cast("long"), CELL_BITS)
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """``result_order``: places by rank, then first occurrence, from 1 in each sample."""
     order = Window.partitionBy("sample_id").orderBy("significance_rank", "first_ordinal")
     return found.withColumn("result_order", F.row_number().over(order))
 
 
+def ordered_in_cells(found: DataFrame) -> DataFrame:
+    """The same for samples that are too large for a task: a sample's results are numbered in
+    cells of one rank and one part of the order, and the cells' counts say where each
+    begins. ``found`` is computed twice, for counts and for places."""
+    cell = ["sample_id", "significance_rank", "__coarse"]
+    parted = found.withColumn("__coarse", _coarse(F.col("first_ordinal"), dict(found.dtypes)["first_ordinal"]))
+    before = Window.partitionBy("sample_id").orderBy("significance_rank", "__coarse").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parted.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.select(*cell, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    placed = parted.withColumn("__place", F.row_number().over(Window.partitionBy(*cell).orderBy("first_ordinal")))
+    out = placed.join(starts, cell).withColumn("result_order", (F.col("__start") + F.col("__place")).cast("int"))
+    return out.drop("__coarse", "__place", "__start")
+
+
+def with_entries(results: DataFrame, table: DataFrame) -> DataFrame:
+    """Results with the lists of their annotations, which ``table`` has by rsID."""
+    return results.join(table.select("rsid", "clinvar", "gwas"), "rsid")
+
+
+def analyze(variants: DataFrame, table: DataFrame, include_benign: bool = False, traits_only: bool = False, huge_samples: bool = False) -> DataFrame:
+    """Annotated calls in result order: ``result_order`` counts from 1 in each sample. Only
+    rank and category go along; a table with lists has them joined to the results."""
+    lists = [c for c in ("clinvar", "gwas") if c in table.columns]
+    slim = table.drop(*lists)
+    if not include_benign:
+        slim = slim.filter(F.col("significance_rank") < BENIGN_FROM)
+    if traits_only:
+        slim = slim.filter(F.col("category") == "Traits")
+    found = (ordered_in_cells if huge_samples else ordered)(met(variants, slim))
+    return with_entries(found, table) if lists else found
+
+
 def unannotated(variants: DataFrame, table: DataFrame) -> DataFrame:
-    return collapse(variants).join(table.select("rsid"), "rsid", "left_anti")
+    """Calls without an annotation; the others go before the shuffle."""
+    return collapse(variants.join(table.select("rsid"), "rsid", "left_anti"))
 
 
 def high_impact(results: DataFrame, gene_col: str = "gene") -> DataFrame:
@@ -68,8 +116,11 @@ def top_categories(results: DataFrame, n: int = 5) -> DataFrame:
 
 def bucket_counts(variants: DataFrame, table: DataFrame) -> DataFrame:
     """Findings of each sample by weight: high, moderate (any other annotated), low."""
-    strong = F.exists("clinvar", lambda e: F.lower(e["clinical_significance"]).contains("pathogenic")) | F.exists("gwas", lambda e: (e["p_value"] > 0) & (e["p_value"] < F.lit(1e-5)))
-    weights = table.select("rsid", F.when(F.coalesce(strong, F.lit(False)), "high").otherwise("moderate").alias("bucket"))
-    met = collapse(variants).join(weights, "rsid", "left")
+    if "strong" in table.columns:
+        strong = F.col("strong")
+    else:
+        strong = F.exists("clinvar", lambda e: is_strong(e["clinical_significance"])) | F.exists("gwas", lambda e: is_strong_p(e["p_value"]))
+    weights = table.select("rsid", F.when(strong, "high").otherwise("moderate").alias("bucket"))
+    found = variants.filter("rsid <> ''").select("sample_id", "rsid").distinct().join(weights, "rsid", "left")
     b = F.coalesce("bucket", F.lit("low"))
-    return met.groupBy("sample_id").agg(*[F.count_if(b == x).alias(x) for x in ("high", "moderate", "low")])
+    return found.groupBy("sample_id").agg(*[F.count_if(b == x).alias(x) for x in ("high", "moderate", "low")])

@@ -45,6 +45,37 @@ def annotations(clinvar: DataFrame, gwas: DataFrame) -> DataFrame:
     return both.select("*", rules.weighted_rank(sig, stars, F.size("gwas") > 0).alias("significance_rank"), rules.category(sig, F.col("gwas")).alias("category"))
 
 
+def slim_annotations(clinvar: DataFrame, gwas: DataFrame) -> DataFrame:
+    """``rsid, n_clinvar, n_gwas, significance_rank, category, gene, strong`` of all annotated
+    rsIDs: what an analysis needs, by ordered aggregates. No list is built, so an rsID with
+    any number of associations is combined before the shuffle. ``clinvar`` has one row per
+    rsID."""
+    told = rules.trait_category(F.col("trait"))
+    of_gwas = gwas.groupBy("rsid").agg(
+        F.count(F.lit(1)).alias("n_gwas"),
+        F.min_by("mapped_gene", "id").alias("mapped_gene"),
+        F.min_by(told, F.when(told.isNotNull(), F.col("id"))).alias("told"),
+        F.bool_or(rules.is_strong_p(F.col("p_value"))).alias("strong_p"),
+    )
+    own = clinvar.select("rsid", "gene", F.col("clinical_significance").alias("sig"), rules.review_stars(F.col("review_status")).alias("stars"), F.lit(1).alias("n_clinvar"))
+    both = own.join(of_gwas, "rsid", "full_outer")
+    has_gwas, sig = F.col("n_gwas").isNotNull(), F.col("sig")
+    gene = F.when(F.col("n_clinvar") == 1, F.col("gene")).otherwise(F.col("mapped_gene"))
+    return both.select(
+        "rsid", F.coalesce("n_clinvar", F.lit(0)).alias("n_clinvar"), F.coalesce("n_gwas", F.lit(0)).cast("int").alias("n_gwas"),
+        rules.weighted_rank(sig, F.col("stars"), has_gwas).alias("significance_rank"), rules.category_of(sig, has_gwas, F.col("told")).alias("category"),
+        F.nullif(gene, F.lit("")).alias("gene"), (rules.is_strong(sig) | F.coalesce("strong_p", F.lit(False))).alias("strong"),
+    )
+
+
+def entries_of(rsids: DataFrame, clinvar: DataFrame, gwas: DataFrame) -> DataFrame:
+    """``rsid, clinvar, gwas`` of the annotated rsIDs among these: lists are built for what
+    is printed only."""
+    wanted = rsids.select("rsid").distinct()
+    near = lambda df: df.join(wanted, "rsid", "left_semi")
+    return annotations(near(clinvar), near(gwas)).select("rsid", "clinvar", "gwas")
+
+
 def lookup(rsids: DataFrame, table: DataFrame) -> DataFrame:
     """Every distinct requested rsID with its entries; empty lists where there are none."""
     found = rsids.select("rsid").distinct().join(table.select("rsid", "clinvar", "gwas"), "rsid", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -41,15 +41,23 @@ def cards(results: DataFrame, explanations: DataFrame | None = None) -> DataFram
     return out.join(explanations, ["sample_id", "rsid"], "left").withColumn("explanation", F.coalesce("explanation", F.lit("")))
 
 
-def section_cards(results: DataFrame, explanations: DataFrame | None = None) -> DataFrame:
+def section_results(results: DataFrame) -> DataFrame:
     """The first 100 of each of the five sections."""
-    return cards(top_per_category(results.filter(F.col("category").isin(*[s[1] for s in SECTIONS])), TOP_SECTION), explanations)
+    return top_per_category(results.filter(F.col("category").isin(*[s[1] for s in SECTIONS])), TOP_SECTION)
+
+
+def section_cards(results: DataFrame, explanations: DataFrame | None = None) -> DataFrame:
+    return cards(section_results(results), explanations)
 
 
-def fallback_cards(results: DataFrame) -> DataFrame:
+def fallback_results(results: DataFrame) -> DataFrame:
     """The first 100 of all for samples whose results lie in none of the sections."""
-    known = F.max(F.col("category").isin(*[s[1] for s in SECTIONS])).over(Window.partitionBy("sample_id"))
-    return cards(top(results.withColumn("in_section", known).filter("not in_section"), TOP_SECTION))
+    shown = results.filter(F.col("category").isin(*[s[1] for s in SECTIONS])).select("sample_id").distinct()
+    return top(results.join(shown, "sample_id", "left_anti"), TOP_SECTION)
+
+
+def fallback_cards(results: DataFrame, explanations: DataFrame | None = None) -> DataFrame:
+    return cards(fallback_results(results), explanations)
 
 
 def flat(results: DataFrame, n: int = TOP_SECTION) -> DataFrame:

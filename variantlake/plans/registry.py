@@ -20,12 +20,26 @@ def table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation.annotations(annotation.last_by_rsid(derived.clinvar_lines(spark, sf_dir)), derived.gwas(spark, sf_dir))
 
 
+def slim_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotation.slim_annotations(annotation.last_by_rsid(derived.clinvar_lines(spark, sf_dir)), derived.gwas(spark, sf_dir))
+
+
+def slim_results(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Results without the lists of their annotations."""
+    return analysis.analyze(derived.variants(spark, sf_dir), slim_table(spark, sf_dir), **options)
+
+
+def with_entries(spark: SparkSession, sf_dir: str, found: DataFrame) -> DataFrame:
+    """Results with the lists, built for their rsIDs only."""
+    return analysis.with_entries(found, annotation.entries_of(found, annotation.last_by_rsid(derived.clinvar_lines(spark, sf_dir)), derived.gwas(spark, sf_dir)))
+
+
 def results(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return analysis.analyze(derived.variants(spark, sf_dir), table(spark, sf_dir), **options)
+    return with_entries(spark, sf_dir, slim_results(spark, sf_dir, **options))
 
 
 def _flat_results(df: DataFrame) -> DataFrame:
-    return df.select("sample_id", "rsid", "chromosome", "position", "genotype", "category", "significance_rank", F.size("clinvar").alias("n_clinvar"), F.size("gwas").alias("n_gwas"), "result_order")
+    return df.select("sample_id", "rsid", "chromosome", "position", "genotype", "category", "significance_rank", "n_clinvar", "n_gwas", "result_order")
 
 
 def _parsed(layout: str | None) -> Query:
@@ -55,20 +69,19 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unannotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.unannotated(derived.variants(spark, sf_dir), table(spark, sf_dir)).select("sample_id", "rsid", "genotype")
+    return analysis.unannotated(derived.variants(spark, sf_dir), slim_table(spark, sf_dir)).select("sample_id", "rsid", "genotype")
 
 
 def analysis_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.summary(derived.variants(spark, sf_dir), results(spark, sf_dir))
+    return analysis.summary(derived.variants(spark, sf_dir), slim_results(spark, sf_dir))
 
 
 def summary_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.bucket_counts(derived.variants(spark, sf_dir), table(spark, sf_dir))
+    return analysis.bucket_counts(derived.variants(spark, sf_dir), slim_table(spark, sf_dir))
 
 
 def high_impact_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = results(spark, sf_dir).withColumn("gene", rules.gene(F.col("clinvar"), F.col("gwas")))
-    return analysis.high_impact(named).select("sample_id", "rsid", "gene", "high_impact")
+    return analysis.high_impact(slim_results(spark, sf_dir)).select("sample_id", "rsid", "gene", "high_impact")
 
 
 def variant_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +90,8 @@ def variant_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.top(results(spark, sf_dir)).select("sample_id", "rsid", texts.system_prompt().alias("system"), texts.prompt().alias("prompt"))
+    shown = with_entries(spark, sf_dir, analysis.top(slim_results(spark, sf_dir)))
+    return shown.select("sample_id", "rsid", texts.system_prompt().alias("system"), texts.prompt().alias("prompt"))
 
 
 def fallback_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,18 +107,26 @@ def safe_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fallback_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The samples from S5 on meet only annotations outside the sections, so their results
     lie in none of them."""
-    calls, known = derived.variants(spark, sf_dir), table(spark, sf_dir)
+    return report.cards(with_entries(spark, sf_dir, report.fallback_results(_partly_unknown(spark, sf_dir))))
+
+
+def _partly_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, known = derived.variants(spark, sf_dir), slim_table(spark, sf_dir)
     early = analysis.analyze(calls.filter("sample_id < 'S5'"), known, include_benign=True)
     late = analysis.analyze(calls.filter("sample_id >= 'S5'"), known.filter("category = 'Unknown'"), include_benign=True)
-    return report.fallback_cards(early.unionByName(late))
+    return early.unionByName(late)
 
 
 def section_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.section_cards(results(spark, sf_dir))
+    return report.cards(with_entries(spark, sf_dir, report.section_results(slim_results(spark, sf_dir))))
+
+
+def flat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.flat(with_entries(spark, sf_dir, analysis.top(slim_results(spark, sf_dir), analysis.TOP_SECTION)))
 
 
 def queries() -> dict[str, Query]:
-    of = lambda f, **o: lambda s, d: f(results(s, d, **o))
+    of = lambda f, **o: lambda s, d: f(slim_results(s, d, **o))
     return {
         "parse_23andme": _parsed("23andme"),
         "parse_ancestry": _parsed("ancestry"),
@@ -119,6 +141,7 @@ def queries() -> dict[str, Query]:
         "analyze": of(_flat_results),
         "analyze_with_benign": of(_flat_results, include_benign=True),
         "analyze_traits": of(_flat_results, traits_only=True),
+        "analyze_huge_samples": of(_flat_results, huge_samples=True),
         "unannotated": unannotated,
         "top_results": of(lambda r: _flat_results(analysis.top(r))),
         "top_per_category": of(lambda r: analysis.top_per_category(r).select("sample_id", "category", "rsid", "place")),
@@ -134,7 +157,7 @@ def queries() -> dict[str, Query]:
         "report_sections": of(report.sections),
         "section_cards": section_cards,
         "fallback_cards": fallback_cards,
-        "flat_results": of(report.flat),
+        "flat_results": flat_results,
     }
 
 
@@ -231,6 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "store_statistics": f"WITH {_CLINVAR}, {_GWAS} SELECT c AS clinvar_rows, n AS genes, g AS gwas_rows, c + g AS total_rows FROM (SELECT count(*) AS c, count(DISTINCT gene) AS n FROM clinvar), (SELECT count(*) AS g FROM gwas)",
         "analyze": _results() + flat,
         "analyze_with_benign": _results("true") + flat,
+        "analyze_huge_samples": _results() + flat,
         "analyze_traits": _results("significance_rank < 8 AND category = 'Traits'") + flat,
         "unannotated": f"WITH {_TABLE}, {_COLLAPSED} SELECT sample_id, rsid, genotype FROM calls WHERE rsid NOT IN (SELECT rsid FROM shown)",
         "top_results": _results() + flat + " WHERE result_order <= 20",

@@ -6,11 +6,12 @@ here once, so a cohort's analysis is one join and one window.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.rules import CLINVAR_ENTRY, GWAS_ENTRY
+from .store import Store
 
 CLINVAR_TEXT = ["gene", "clinical_significance", "conditions", "review_status", "last_evaluated"]
 
@@ -89,18 +90,70 @@ def store_statistics(clinvar: DataFrame, gwas: DataFrame) -> DataFrame:
     return c.crossJoin(g).withColumn("total_rows", F.col("clinvar_rows") + F.col("gwas_rows"))  # one row each
 
 
+def _no_gwas(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "id long, rsid string, trait string, p_value double, odds_ratio string, mapped_gene string, study string, pubmed_id string, link string")
+
+
 def build_tables(clinvar: DataFrame, gwas: DataFrame | None, path: str, versions: tuple[str, str] = ("unknown", "unknown"), loaded_at: str | None = None, gwas_mode: str = "overwrite") -> DataFrame:
     """Writes both tables, the annotations and a load record under ``path`` (a new one
     for each load); returns the record."""
     spark = clinvar.sparkSession
-    last_by_rsid(clinvar).write.mode("overwrite").parquet(f"{path}/clinvar")
+    seen_c, seen_g = Observation(), Observation()
+    rows = F.count(F.lit(1)).alias("rows")
+    last_by_rsid(clinvar).observe(seen_c, rows).write.mode("overwrite").parquet(f"{path}/clinvar")
     if gwas is None:
         versions = (versions[0], "unavailable")
-        gwas = spark.createDataFrame([], "id long, rsid string, trait string, p_value double, odds_ratio string, mapped_gene string, study string, pubmed_id string, link string")
-    gwas.write.mode(gwas_mode).parquet(f"{path}/gwas")
+        gwas = _no_gwas(spark)
+    gwas.observe(seen_g, rows).write.mode(gwas_mode).parquet(f"{path}/gwas")
     stored_c, stored_g = spark.read.parquet(f"{path}/clinvar"), spark.read.parquet(f"{path}/gwas")
     annotations(stored_c, stored_g).write.mode("overwrite").parquet(f"{path}/annotations")
     when = F.lit(loaded_at) if loaded_at else F.current_timestamp().cast("string")
-    record = store_statistics(stored_c, stored_g).select(when.alias("last_update"), F.lit(versions[0]).alias("clinvar_version"), F.lit(versions[1]).alias("gwas_version"), "*")
+    n_c, n_g = seen_c.get["rows"], stored_g.count() if gwas_mode == "append" else seen_g.get["rows"]  # a count reads footers
+    genes = stored_c.agg(F.count_distinct(F.nullif("gene", F.lit(""))).alias("genes"))  # one column
+    record = genes.select(
+        when.alias("last_update"), F.lit(versions[0]).alias("clinvar_version"), F.lit(versions[1]).alias("gwas_version"),
+        F.lit(n_c).cast("long").alias("clinvar_rows"), "genes", F.lit(n_g).cast("long").alias("gwas_rows"), F.lit(n_c + n_g).cast("long").alias("total_rows"),
+    )
     record.write.mode("append").parquet(f"{path}/loads")
     return record
+
+
+def load_tables(clinvar: DataFrame, gwas: DataFrame | None, store: Store, versions: tuple[str, str] = ("unknown", "unknown"), loaded_at: str | None = None, gwas_mode: str = "overwrite") -> DataFrame:
+    """Loads lines into the tables ``clinvar, gwas, annotations, loads`` of a store as one
+    version; returns the load record. The last line of an rsID wins, in a load and over
+    loads; rsIDs that are absent from a load survive it. Associations are replaced, or
+    appended behind the earlier ones; without any the earlier ones stay. Annotations are
+    made anew in touched buckets only. Rows are counted as they are written."""
+    old, spark = store.version(), store.spark
+    parts, columns = {}, {}
+
+    last = last_by_rsid(clinvar)
+    new_c = store.stage("clinvar", last, "rsid")
+    parts["clinvar"], columns["clinvar"] = store.merged(old, "clinvar", new_c, ["rsid"], "rsid"), last.schema.json()
+    changed = {p.bucket for p in new_c}
+    if gwas is None:
+        versions = (versions[0], "unavailable")
+        parts["gwas"] = old.of("gwas")
+        columns["gwas"] = old.columns.get("gwas") or _no_gwas(spark).schema.json()
+    else:
+        placed = gwas.withColumn("id", F.struct(F.lit(old.number + 1).alias("load"), F.col("id").alias("line")))
+        new_g = store.stage("gwas", placed, "rsid")
+        earlier = old.of("gwas") if gwas_mode == "append" else []
+        parts["gwas"], columns["gwas"] = [*earlier, *new_g], placed.schema.json()
+        changed |= {p.bucket for p in new_g} | ({p.bucket for p in old.of("gwas")} if gwas_mode != "append" else set())
+    of = lambda table: store.rows_of([p for p in parts[table] if p.bucket in changed], columns[table])
+    c, g = of("clinvar"), of("gwas")
+    table = annotations(c, g).drop("significance_rank", "category").join(slim_annotations(c, g), "rsid")
+    parts["annotations"] = [*(p for p in old.of("annotations") if p.bucket not in changed), *store.stage("annotations", table, "rsid")]
+    columns["annotations"] = table.schema.json()
+
+    genes = store.rows_of(parts["clinvar"], columns["clinvar"]).agg(F.count_distinct(F.nullif("gene", F.lit("")))).first()[0]  # one column
+    n_c, n_g = (sum(p.rows for p in parts[t]) for t in ("clinvar", "gwas"))
+    when = F.lit(loaded_at) if loaded_at else F.current_timestamp().cast("string")
+    record = spark.range(1).select(
+        when.alias("last_update"), F.lit(versions[0]).alias("clinvar_version"), F.lit(versions[1]).alias("gwas_version"),
+        F.lit(n_c).cast("long").alias("clinvar_rows"), F.lit(genes).cast("long").alias("genes"), F.lit(n_g).cast("long").alias("gwas_rows"), F.lit(n_c + n_g).cast("long").alias("total_rows"),
+    )
+    parts["loads"], columns["loads"] = [*old.of("loads"), *store.stage("loads", record, "last_update")], record.schema.json()
+    store.commit(old, parts, columns)
+    return record

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from .analysis import TOP_SECTION, category_counts, top, top_per_category
+from .store import BUCKETS, Store
 
 # Sections in order, by category.
 SECTIONS = (
@@ -71,3 +72,13 @@ def write_results(df: DataFrame, path: str, form: str = "parquet", by: str | Non
     """Parquet (by category), or flat rows as JSON or CSV."""
     writer = df.write.mode("overwrite").format(form)
     (writer.partitionBy(by) if by and form == "parquet" else writer).save(path)
+
+
+def replace_results(spark: SparkSession, results: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Writes results into the store under ``path``: those of a sample replace its earlier
+    ones, other samples keep theirs. Samples share buckets, so files stay few."""
+    Store(spark, path, buckets).replace("results", results, ["sample_id"], "sample_id")
+
+
+def stored_results(spark: SparkSession, path: str) -> DataFrame:
+    return Store(spark, path).read("results")

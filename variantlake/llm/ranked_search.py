@@ -48,9 +48,9 @@ TOP = 10
 SLOTS, LEAST_SLOTS = 4, 16
 #: An impact is below 10**6, so a byte holds it in these steps.
 IMPACT_STEP = 4096
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 #: Queries and terms of a block, and slots that are looked up at once.
-BLOCK_ITEMS, BLOCK_TERMS, LOOKUPS = 500, 20_000, 1 << 20
+BLOCK_ITEMS, BLOCK_TERMS, LOOKUPS = 500, 20_000, 1 << 19
 #: Documents that a query has rescored at first in a step; twice as many each time.
 STRIDE = 4
 EXACT = 1 << 53
@@ -108,8 +108,8 @@ def _n_terms(text: Column) -> Column:
 
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    n = _n_terms(F.col("text"))
-    total = given.agg(F.count_if(n > 0).alias("documents"), F.sum(n).alias("terms")).first()
+    n = F.col("n")
+    total = given.select(_n_terms(F.col("text")).alias("n")).agg(F.count(F.when(n > 0, n)).alias("documents"), F.sum(n).alias("terms")).first()
     documents, all_terms = total["documents"], total["terms"] or 1
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

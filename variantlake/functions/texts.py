@@ -42,6 +42,7 @@ DISCLAIMER = (
 NO_CLINVAR = "No ClinVar data available for this variant."
 NO_GWAS = "No GWAS associations available for this variant."
 ADVICE = "Please consult a genetic counselor or healthcare provider for interpretation of these findings."
+NO_ANSWER = "AI explanations unavailable"
 # Filled by format_string: rsID, genotype, gene, chromosome, position, ClinVar and GWAS lines.
 PROMPT = """Please explain the following genetic variant finding for the user:
 
@@ -152,13 +153,14 @@ def system_prompt(product: str = "this library") -> Column:
     return F.lit(SYSTEM_PROMPT.format(product=product))
 
 
-def fallback_text(f=F.col, reason: str = "AI explanations unavailable") -> Column:
-    """What is shown of a result when no model explains it."""
+def fallback_text(f=F.col, reason: str | Column = NO_ANSWER) -> Column:
+    """What is shown of a result when no model explains it, with the reason."""
+    reason = F.lit(reason) if isinstance(reason, str) else reason
     x = _facts(f)
     pair = lambda a, b: F.concat(F.lit("  - "), told(a), F.lit(": "), b)
     block = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"\n\n{title}:\n"), F.array_join(lines, "\n"))).otherwise("")
     return F.concat(
-        F.lit(f"Explanation: {reason}\n\nRaw variant data:\n- rsID: "), x["rsid"], F.lit("\n- Gene: "), x["gene"],
+        F.lit("Explanation: "), reason, F.lit("\n\nRaw variant data:\n- rsID: "), x["rsid"], F.lit("\n- Gene: "), x["gene"],
         F.lit("\n- Chromosome: "), x["chromosome"], F.lit(", Position: "), x["position"], F.lit("\n- Genotype: "), x["genotype"],
         block("ClinVar Information", F.transform(f("clinvar"), lambda e: pair(e["conditions"], told(e["clinical_significance"])))),
         block("GWAS Associations", F.transform(f("gwas"), lambda e: pair(e["trait"], F.concat(F.lit("p-value = "), told(number_text(e["p_value"])))))),

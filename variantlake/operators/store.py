@@ -21,7 +21,6 @@ import uuid
 import zlib
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -63,17 +62,14 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, row_group_bytes: int = ROW_GROUP_BYTES):
         self.spark, self.path, self.row_group_bytes = spark, path.rstrip("/"), row_group_bytes
+        first = spark.createDataFrame([(None, None, None, 0, None, None, buckets)], MANIFEST)
+        first.coalesce(1).write.mode("ignore").json(f"{self.path}/manifest/version=0")
         found = self._manifests()
         self.buckets = found[0]["buckets"] if found else buckets
 
     def _manifests(self) -> list:
         """The rows of the last manifest: at most the buckets, times the loads appended."""
-        try:
-            rows = self.spark.read.schema(f"{MANIFEST}, version int").json(f"{self.path}/manifest")
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return []
+        rows = self.spark.read.schema(f"{MANIFEST}, version int").json(f"{self.path}/manifest")
         last = rows.agg(F.max("version")).first()[0]
         return rows.filter(F.col("version") == last).collect() if last is not None else []
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, texts
-from ..operators import analysis, annotation, report
+from ..operators import analysis, annotation, explanations, report
+from ..operators.scratch import scratch_path
+from ..operators.store import Store
 from ..sources.genotypes import parse
 from . import derived
 from .derived import sql
@@ -125,6 +127,79 @@ def flat_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.flat(with_entries(spark, sf_dir, analysis.top(slim_results(spark, sf_dir), analysis.TOP_SECTION)))
 
 
+def collapsed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some calls have no rsID."""
+    calls = derived.variants(spark, sf_dir).withColumn("rsid", F.expr(BLANKED))
+    return analysis.collapse(calls)
+
+
+BLANKED = "CASE WHEN position % 70 = 0 THEN '' ELSE rsid END"
+#: Results that take the rsIDs which have a warning of their own.
+RENAMED = "CASE rsid WHEN 'rs20' THEN 'rs7412' WHEN 'rs40' THEN 'rs429358' ELSE rsid END"
+#: Answers to a part of the results, some of them twice, some without a text.
+ANSWERED = {
+    "answer": "CASE WHEN result_order % 5 <> 1 THEN 'About ' || rsid || CASE result_order % 4 WHEN 1 THEN ': now You HAVE it.' WHEN 2 THEN ': it is guaranteed to come.' ELSE ', it is common.' END END",
+    "reason": "CASE WHEN result_order % 10 = 1 THEN 'Request timed out' END",
+}
+
+
+def _asked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return results(spark, sf_dir).withColumn("rsid", F.expr(RENAMED))
+
+
+def _answers(asked: DataFrame) -> DataFrame:
+    some = asked.filter("result_order % 3 <> 0")
+    last = some.selectExpr("sample_id", "rsid", *[f"{e} AS {c}" for c, e in ANSWERED.items()], "CAST(2 AS BIGINT) AS ordinal")
+    early = some.filter("result_order % 2 = 0").selectExpr("sample_id", "rsid", "'too early' AS answer", "CAST(NULL AS STRING) AS reason", "CAST(1 AS BIGINT) AS ordinal")
+    return last.unionByName(early)
+
+
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _asked_results(spark, sf_dir)
+    return explanations.explained(asked, _answers(asked)).select("sample_id", "rsid", "answered", "flagged", "explanation")
+
+
+def merged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last answers come first, then the early ones, then the first lot again."""
+    answers = _answers(_asked_results(spark, sf_dir))
+    store = Store(spark, scratch_path(spark))
+    for lot in ("ordinal = 2", "ordinal = 1", "ordinal = 2"):
+        explanations.merge_answers(store, answers.filter(lot))
+    return store.read("answers")
+
+
+def fallback_cards_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = report.fallback_results(_partly_unknown(spark, sf_dir))
+    told = found.filter("result_order % 2 = 0").selectExpr("sample_id", "rsid", "'told of ' || rsid AS explanation")
+    return report.cards(with_entries(spark, sf_dir, found), told)
+
+
+def _two_loads(spark: SparkSession, sf_dir: str) -> Store:
+    store = Store(spark, scratch_path(spark), buckets=16)
+    lines, entries = derived.clinvar_lines(spark, sf_dir), derived.gwas(spark, sf_dir)
+    annotation.load_tables(lines.filter("ordinal % 4 < 2"), entries.filter("id % 2 = 0"), store, ("1", "a"), "first")
+    annotation.load_tables(lines.filter("ordinal % 4 >= 1"), entries.filter("id % 2 = 1"), store, ("2", "b"), "second", gwas_mode="append")
+    return store
+
+
+def stored_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, g = F.col("clinvar"), F.col("gwas")
+    table = _two_loads(spark, sf_dir).read("annotations")
+    return table.select("rsid", "n_clinvar", "n_gwas", "significance_rank", "category", "gene", texts.clinvar_lines(c).alias("clinvar_text"), texts.gwas_lines(g).alias("gwas_text"))
+
+
+def load_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _two_loads(spark, sf_dir).read("loads")
+
+
+def replaced_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of all samples, then those of one sample anew."""
+    path = scratch_path(spark)
+    report.replace_results(spark, slim_results(spark, sf_dir), path, 16)
+    report.replace_results(spark, slim_results(spark, sf_dir, include_benign=True).filter("sample_id = 'S3'"), path)
+    return _flat_results(report.stored_results(spark, path))
+
+
 def queries() -> dict[str, Query]:
     of = lambda f, **o: lambda s, d: f(slim_results(s, d, **o))
     return {
@@ -158,6 +233,13 @@ def queries() -> dict[str, Query]:
         "section_cards": section_cards,
         "fallback_cards": fallback_cards,
         "flat_results": flat_results,
+        "collapsed_calls": collapsed_calls,
+        "explained": explained,
+        "merged_answers": merged_answers,
+        "fallback_cards_explained": fallback_cards_explained,
+        "stored_annotations": stored_annotations,
+        "load_records": load_records,
+        "replaced_results": replaced_results,
     }
 
 
@@ -234,11 +316,22 @@ def oracle_sql() -> dict[str, str]:
     request = _q(texts.PROMPT)
     for n, fact in enumerate(facts, 1):
         request = request.replace(f"%{n}$s", f"' || {fact} || '")
-    shown = f"""'Explanation: AI explanations unavailable' || repeat(chr(10), 2) || 'Raw variant data:' || chr(10) || '- rsID: ' || rsid || chr(10) || '- Gene: ' || {facts[2]} || chr(10)
+    told_why = lambda reason: f"""'Explanation: ' || {reason} || repeat(chr(10), 2) || 'Raw variant data:' || chr(10) || '- rsID: ' || rsid || chr(10) || '- Gene: ' || {facts[2]} || chr(10)
       || '- Chromosome: ' || chromosome || ', Position: ' || position || chr(10) || '- Genotype: ' || genotype
       || CASE WHEN has_c THEN repeat(chr(10), 2) || 'ClinVar Information:' || chr(10) || '  - ' || {told('cond')} || ': ' || {told('sig')} ELSE '' END
       || CASE WHEN len(g) > 0 THEN repeat(chr(10), 2) || 'GWAS Associations:' || chr(10) || array_to_string(list_transform(g, lambda x: '  - ' || {told('x.trait')} || ': p-value = ' || {told('x.p_value')}), chr(10)) ELSE '' END
-      || repeat(chr(10), 2) || {_q(texts.ADVICE)}"""
+      || repeat(chr(10), 2) || {_q(texts.ADVICE)}"""
+    shown = told_why(_q(texts.NO_ANSWER))
+    fallback = _results("sample_id < 'S5' OR category = 'Unknown'") + f"SELECT {cards} FROM results WHERE result_order <= 100 AND sample_id NOT IN (SELECT sample_id FROM results WHERE category IN {in_sections})"
+    # Answers and warnings of the results that take other rsIDs.
+    answered = f"regexp_matches(answer, {_q('|'.join(texts.DIAGNOSTIC))}, 'i')"
+    notes = f"concat_ws('', '- ' || {warn('gene')} || chr(10), '- ' || {warn('rsid')} || chr(10))"
+    asked = f"""asked AS (SELECT * REPLACE ({RENAMED} AS rsid) FROM results),
+      told AS (SELECT *, CASE WHEN result_order % 3 <> 0 THEN {ANSWERED["answer"]} END AS answer, CASE WHEN result_order % 3 <> 0 THEN {ANSWERED["reason"]} END AS reason FROM asked),
+      noted AS (SELECT *, {notes} AS notes, coalesce({answered}, false) AS flagged FROM told)"""
+    in_loads = lambda q: q.replace("gwas AS (SELECT id,", "gwas AS (SELECT (id % 2) * 1000000000000 + id AS id,").replace("PARTITION BY rsid ORDER BY ordinal DESC", "PARTITION BY rsid ORDER BY ordinal % 4 >= 1 DESC, ordinal DESC")
+    record = lambda n, lines, entries: f"""SELECT '{["first", "second"][n - 1]}' AS last_update, '{n}' AS clinvar_version, '{"ab"[n - 1]}' AS gwas_version, c AS clinvar_rows, genes, g AS gwas_rows, c + g AS total_rows
+            FROM (SELECT count(*) AS c, count(DISTINCT gene) AS genes FROM (SELECT gene FROM lines WHERE {lines} QUALIFY row_number() OVER (PARTITION BY rsid ORDER BY ordinal % 4 >= 1 AND {n} = 2 DESC, ordinal DESC) = 1)), (SELECT count(*) AS g FROM gwas WHERE {entries})"""
     return {
         "parse_23andme": parsed,
         "parse_ancestry": parsed,
@@ -273,7 +366,20 @@ def oracle_sql() -> dict[str, str]:
         "safe_explanations": f"WITH {sql('texts')} SELECT doc_id, coalesce({flagged}, false) AS flagged, explanation || CASE WHEN {flagged} THEN {note} ELSE '' END || {_q(texts.DISCLAIMER.format(product='This library'))} AS shown FROM texts",
         "report_sections": _results() + f"SELECT sample_id, category, n, section, title, description FROM counts JOIN {titles} USING (category)",
         "section_cards": _results() + f"SELECT {cards} FROM placed WHERE place <= 100 AND category IN {in_sections}",
-        "fallback_cards": _results("sample_id < 'S5' OR category = 'Unknown'") + f"SELECT {cards} FROM results WHERE result_order <= 100 AND sample_id NOT IN (SELECT sample_id FROM results WHERE category IN {in_sections})",
+        "fallback_cards": fallback,
+        "fallback_cards_explained": fallback.replace("'' AS explanation", "CASE WHEN result_order % 2 = 0 THEN 'told of ' || rsid ELSE '' END AS explanation"),
+        "collapsed_calls": f"""WITH {_VARIANTS}, named AS (SELECT * REPLACE ({BLANKED} AS rsid) FROM variants)
+            SELECT sample_id, rsid, min(ordinal) AS first_ordinal, arg_max(chromosome, ordinal) AS chromosome, arg_max(position, ordinal) AS position, arg_max(genotype, ordinal) AS genotype
+            FROM named WHERE rsid <> '' GROUP BY sample_id, rsid""",
+        "explained": _results().rstrip() + f""", {asked}
+            SELECT sample_id, rsid, answer IS NOT NULL AS answered, flagged,
+              CASE WHEN answer IS NULL THEN {told_why(f"coalesce(reason, {_q(texts.NO_ANSWER)})")}
+                   ELSE answer || CASE WHEN flagged THEN {_q(texts.SAFETY_NOTE)} ELSE '' END || CASE WHEN notes <> '' THEN {_q(chr(10) + texts.NOTES_TITLE)} || notes ELSE '' END || {_q(texts.DISCLAIMER.format(product='This library'))} END AS explanation
+            FROM noted""",
+        "merged_answers": _results().rstrip() + f", {asked} SELECT sample_id, rsid, answer, reason, CAST(2 AS BIGINT) AS ordinal FROM noted WHERE result_order % 3 <> 0",
+        "stored_annotations": in_loads(f"WITH {_TABLE} SELECT rsid, n_clinvar, n_gwas, significance_rank, category, gene, {of_clinvar} AS clinvar_text, {of_gwas} AS gwas_text FROM shown"),
+        "load_records": f"WITH {_CLINVAR}, {_GWAS} {record(1, 'ordinal % 4 < 2', 'id % 2 = 0')} UNION ALL {record(2, 'true', 'true')}",
+        "replaced_results": _results("significance_rank < 8 OR sample_id = 'S3'") + flat,
         "prompts": _results() + f"SELECT sample_id, rsid, {_q(texts.SYSTEM_PROMPT.format(product='this library'))} AS system, {request} AS prompt FROM results WHERE result_order <= 20",
         "fallback_texts": _results() + f"SELECT sample_id, rsid, {shown} AS explanation FROM results",
         "flat_results": _results() + "SELECT sample_id, result_order AS significance_order, rsid, genotype, category, significance_rank, coalesce(gene, '-') AS gene, conditions FROM results WHERE result_order <= 100",

@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read
 again as the next stage's documents.
+
+Defined cases of every stage: extra columns stay as they are (the last stage returns pieces
+only), whatever their names; an empty table gives an empty result; very long texts are read
+whole; null ids are kept.
 """
 
 from __future__ import annotations
@@ -15,28 +19,35 @@ from variantlake.llm.common import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules of their text and of their host."""
+    """Documents that pass the rules of their text and of their host. A null or empty text
+    fails (too few words); a null source is no host, so only its text decides; repeated rows
+    are judged, and counted for their host, each."""
     return quality_rules.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the smallest id."""
+    """Of equal texts, the document with the smallest id. Null counts as the empty text; of
+    repeated rows one stays; a null id stays only where its group has no other."""
     return exact_dedup.drop_duplicates(docs, keep="min")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts alike at 0.8 or more in five-word shingles, the document
-    with the smallest id. SimHash anchors find the pairs, their similarity decides."""
+    with the smallest id. SimHash anchors find the pairs, their similarity decides. Null and
+    empty texts are one class; texts of fewer than five words are compared whole; ties of
+    ids (repeated rows) leave one row."""
     return near_dups.keep_one(docs)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data."""
+    """Documents with surrogates for personal data. A null text stays null; repeated rows
+    get the same surrogates, as equal entities do in all documents."""
     return pii.without_pii(docs, pii.session_key(spark))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences."""
+    """The pieces of all sequences. A null or empty text is its end token; repeated rows are
+    packed each; ties of length go by a key of the row."""
     return packing.packing_digest(docs)
 
 

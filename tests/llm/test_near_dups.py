@@ -3,6 +3,8 @@
 import collections
 import random
 
+import pytest
+
 import corpus_pipeline
 
 SCHEMA = "doc_id long, text string"
@@ -65,19 +67,46 @@ def test_near_stage_odd_rows(spark):
     assert corpus_pipeline.near(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
 
 
-def test_near_stage_joins_groups_about_a_text(spark):
+@pytest.mark.parametrize(("groups", "copies"), [(12, 30), (3, 200), (3, 400)])
+def test_near_stage_joins_groups_about_a_text(spark, groups, copies):
     """Copies of one text, each with a few words of its own changed: many pairs of copies
     lie below the bound, each copy and the text above it."""
     rng = random.Random(11)
     rows = []
-    for g in range(12):
+    for g in range(groups):
         base = [f"w{rng.randrange(5000)}" for _ in range(200)]
         rows.append((1000 * g + 500, " ".join(base)))
-        for c in range(30):
+        for c in range(copies):
             words = list(base)
             for at in rng.sample(range(200), 4):
                 words[at] = f"v{g}x{c}y{at}"
             rows.append((1000 * g + c, " ".join(words)))
     want, links = smallest_alike(dict(rows))
     kept = sorted(r.doc_id for r in corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
-    assert len(links) > 300 and kept == sorted(want)
+    assert len(links) >= groups * copies and kept == sorted(want)
+
+
+def changed(rng, words, n, mark):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"{mark}y{at}"
+    return words
+
+
+def test_near_stage_two_hubs_chains_and_lost_originals(spark):
+    """Two texts too far apart to link, each with copies; a chain of small changes; copies
+    of a text that is not there, all just below the bound."""
+    rng, rows = random.Random(12), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    for h, hub in enumerate((base, changed(rng, base, 9, "hub"))):
+        rows.append((1000 * h, " ".join(hub)))
+        rows += [(1000 * h + 1 + c, " ".join(changed(rng, hub, 4, f"v{h}x{c}"))) for c in range(60)]
+    words = [f"c{rng.randrange(5000)}" for _ in range(200)]
+    for c in range(60):
+        words = changed(rng, words, 3, f"k{c}")
+        rows.append((3000 + c, " ".join(words)))
+    lost = [f"l{rng.randrange(5000)}" for _ in range(200)]
+    rows += [(5000 + c, " ".join(changed(rng, lost, 4, f"o{c}"))) for c in range(50)]
+    want, links = smallest_alike(dict(rows))
+    kept = sorted(r.doc_id for r in corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
+    assert len(links) > 150 and len(want) > 40 and kept == sorted(want)

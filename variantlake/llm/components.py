@@ -1,4 +1,8 @@
-"""Connected components of a graph given as edges between long node ids."""
+"""Connected components of a graph given as edges between long node ids.
+
+Defined cases: loops and repeated edges count once; an empty table gives no rows; nulls are
+no nodes: edges with one are left out.
+"""
 
 from __future__ import annotations
 

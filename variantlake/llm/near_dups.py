@@ -2,21 +2,23 @@
 
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at
 least ``SIMILARITY``. A fingerprint of 64 bits cannot tell 0.8 from less (such texts
-differ in about 10 bits of 64), so the fingerprint here has four lanes of 64 bits, and
+differ in about 10 bits of 64), so the fingerprint here has six lanes of 64 bits, and
 every candidate is confirmed by its exact similarity. Candidates come from anchors, as in
 ``simhash``: each lane's three blocks send a fingerprint to the nearest word of the Golay
 code and to all within 4 bits, and homes meet members per anchor. Texts at similarity 0.8
-share an anchor of one block with probability 0.44 or more, so all twelve blocks miss a
-pair with probability 0.001 (0.0001 at 0.85, 0.00001 at 0.9). What meets and differs in at
+share an anchor of one block with probability 0.44 or more, so all eighteen blocks miss a
+pair with probability 0.00003 (0.000001 at 0.85). What meets and differs in at
 most ``NEAR_BITS`` of the first 128 bits is a candidate (0.9999 of pairs at 0.8).
 
-A cell returns the edges of a spanning forest of its candidates, nearest pairs first, so a
-large group of copies costs no squares; a pair meets in about five cells, each with a
-forest of its own. Where one of these edges turns out to be too dissimilar, its cell is
-taken again, and five more forests of other pairs span the classes that are left. Classes
-are the components of the confirmed links. A link is lost only if it is in no forest of
-any of its cells and no chain of confirmed links joins its texts: in a group whose
-nearest pairs lie below the bound while farther ones lie above it by chance of the bits.
+A cell returns the edges of a spanning forest of its candidates, so a large group of copies
+costs no squares; a pair meets in about eight cells, each with a forest of its own. The
+forest is made of stars: the text with most near candidates is joined to all of them, which
+in a group of copies of one text is that text. Where one of these edges turns out to be too
+dissimilar, its cell is taken again, and forests of pairs not yet tried span the classes
+that are left: one forest, then two, four and so on, until no cell has an untried candidate
+between two classes. So no link between candidates is lost, in rounds that grow with the
+logarithm of a group; texts that are all alike just below the bound are in the end compared
+pair by pair, since nothing less can tell. Classes are the components of the confirmed links.
 
 Defined cases: texts with equal sets (null and empty ones too) are one class; fewer
 words than a shingle give one shingle; repeated rows share a class, and rows that share
@@ -27,7 +29,8 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import accumulate
 
 import numpy as np
@@ -44,12 +47,12 @@ from .simhash import SEED, anchors, by_cell, cell_grid, rows_with_ids
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # as a fraction
-LANES = 4
+LANES = 6
 #: Bits of the first two lanes that a candidate pair may differ in.
 NEAR_BITS = 36
 CELL_HOMES, CELL_MEMBERS = 500, 2_000
-#: Forests of a cell whose first one had an edge that was not confirmed.
-FORESTS = 5
+#: Bits that most pairs above the bound differ in at most; their number makes a hub.
+HUB_BITS = 24
 STEPS = np.random.default_rng(SEED).integers(0, 1 << 63, LANES, dtype=np.uint64)
 
 
@@ -124,36 +127,26 @@ def _candidates(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def spanning(x: np.ndarray, y: np.ndarray, far: np.ndarray, label: np.ndarray) -> list[int]:
-    """Which of the pairs ``x, y`` make a spanning forest of ``label``'s classes, near
-    pairs first: each class joins by a nearest pair, then the joined ones do."""
+def stars(x: np.ndarray, y: np.ndarray, far: np.ndarray, label: np.ndarray) -> list[int]:
+    """Which of the pairs ``x, y`` make a spanning forest of ``label``'s classes: the node
+    with most near pairs to other classes is joined to each of them by a nearest pair, and
+    so on with what is left. So a text is tried against its own copies before these are
+    tried against each other."""
     picked: list[int] = []
-    group = label.copy()
-    for bits in np.unique(far):
-        at = np.flatnonzero(far == bits)
-        while True:
-            i, j = group[x[at]], group[y[at]]
-            at, i, j = at[i != j], i[i != j], j[i != j]
-            if not len(at):
-                break
-            tried = np.union1d(np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1])
-            parent: dict[int, int] = {}
-
-            def root(v: int) -> int:
-                while v in parent:
-                    v = parent[v]
-                return v
-
-            for k in tried.tolist():
-                p, q = root(int(i[k])), root(int(j[k]))
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    picked.append(int(at[k]))
-            to = np.arange(int(group.max()) + 1)
-            for v in parent:
-                to[v] = root(v)
-            group = to[group]
-    return picked
+    group, at = label.copy(), np.arange(len(x))
+    while True:
+        at = at[group[x[at]] != group[y[at]]]
+        if not len(at):
+            return picked
+        near = at[far[at] <= HUB_BITS]
+        near = near if len(near) else at
+        hub = int(np.bincount(np.concatenate([x[near], y[near]])).argmax())
+        mine = at[(x[at] == hub) | (y[at] == hub)]
+        mine = mine[np.argsort(far[mine], kind="stable")]
+        others = group[np.where(x[mine] == hub, y[mine], x[mine])]
+        classes, first = np.unique(others, return_index=True)
+        picked += mine[first].tolist()
+        group[np.isin(group, classes)] = group[hub]
 
 
 def _edges(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
@@ -161,32 +154,41 @@ def _edges(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> list[tuple[int,
     return [(cell, a, b) for a, b in zip(node[x].tolist(), node[y].tolist())]
 
 
-def forest(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
+def first_forest(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
     """``cell, a, b``: edges of a spanning forest of a cell's candidates."""
     x, y, far = _candidates(rows)
-    picked = spanning(x, y, far, np.unique(rows["node"].to_numpy(), return_inverse=True)[1])
+    index = np.unique(rows["node"].to_numpy(), return_inverse=True)[1]
+    picked = stars(index[x], index[y], far, np.arange(len(rows)))
     return _edges(rows, x[picked], y[picked])
 
 
-def more_forests(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
-    """``cell, a, b``: edges of ``FORESTS`` forests without a common edge, each spanning the
-    classes (``root``) of a cell by candidates that the first forest did not have."""
+def more_forests(rows: pd.DataFrame, forests: int) -> list[tuple[int, int, int]]:
+    """``cell, a, b``: edges of so many forests without a common edge, each spanning the
+    classes (``root``) of a cell by candidates that were not tried. What was tried are rows
+    with ``other`` (no nulls: these would turn the fingerprints to floats)."""
+    tried, rows = rows[rows["other"] >= 0], rows[rows["other"] < 0]
     x, y, far = _candidates(rows)
-    node = np.unique(rows["node"].to_numpy(), return_inverse=True)[1].astype(np.int64)
-    known = spanning(x, y, far, node)
-    pair = lambda i, j: np.minimum(node[i], node[j]) * len(node) + np.maximum(node[i], node[j])
-    new = ~np.isin(pair(x, y), pair(x[known], y[known]))
+    names, node = np.unique(rows["node"].to_numpy(), return_inverse=True)
+    node = node.astype(np.int64)
+    pair = lambda i, j: np.minimum(i, j) * len(names) + np.maximum(i, j)
+    known = pair(np.searchsorted(names, tried["node"].to_numpy()), np.searchsorted(names, tried["other"].to_numpy()))
     label = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
+    of_node = np.zeros(len(names), np.int64)
+    of_node[node] = label
+    x_node, y_node = node[x], node[y]
+    left = np.flatnonzero(~np.isin(pair(x_node, y_node), known))
+    left = left[np.unique(pair(x_node[left], y_node[left]), return_index=True)[1]]  # as home and as member
     out = []
-    for _ in range(FORESTS):
-        x, y, far = x[new], y[new], far[new]
-        picked = spanning(x, y, far, label)
-        out += _edges(rows, x[picked], y[picked])
-        new = ~np.isin(pair(x, y), pair(x[picked], y[picked]))
+    for _ in range(forests):
+        picked = stars(x_node[left], y_node[left], far[left], of_node)
+        if not picked:
+            break
+        out += _edges(rows, x[left[picked]], y[left[picked]])
+        left = np.delete(left, picked)
     return out
 
 
-def _pairs(rows: DataFrame, work) -> DataFrame:
+def _pairs(rows: DataFrame, work: Callable[[pd.DataFrame], list[tuple[int, int, int]]]) -> DataFrame:
     """``cell, a, b`` (a < b) that ``work`` finds in each cell of ``rows``."""
     dealt = rows.repartition("cell").sortWithinPartitions("cell")
     found = dealt.mapInPandas(lambda batches: by_cell(batches, work, ["cell", "a", "b"]), "cell long, a long, b long")
@@ -220,6 +222,36 @@ def _sets_of(nodes: DataFrame, sketched: DataFrame, given: DataFrame) -> DataFra
     return written(texts.mapInArrow(sets, schema).dropDuplicates(["node"]), "sets")
 
 
+def _further_links(tried: DataFrame, links: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """``links`` and all others between candidates: round by round each cell that had a
+    refuted pair tries forests of new pairs between the classes it knows, one, then twice
+    as many each time, until no cell has a pair left to try. A node with a candidate has an
+    edge in ``tried``, so its set is among ``sets``."""
+    asked = written(tried.select("a", "b").distinct(), "asked")
+    refuted = lambda pairs: written(pairs.join(links, ["a", "b"], "left_anti").select("cell").distinct(), "open_cells")
+    cells = refuted(tried)
+    held = written(join_small(placed, cells, "cell", "inner", spread="node"), "open_members")
+    members = held.select("node").distinct()
+    labels = members.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    labels = written(labels, "labels")
+    known, forests = tried, 1
+    while not cells.isEmpty():
+        some = held.join(cells, "cell", "left_semi").join(labels, "node").withColumn("other", F.lit(-1).cast("long"))
+        seen = known.join(cells, "cell", "left_semi").select("cell", F.lit(False).alias("home"), F.col("a").alias("node"), *[F.lit(0).cast("long").alias(c) for c in ("fp", "more", "root")], F.col("b").alias("other"))
+        work = partial(more_forests, forests=forests)
+        new = written(_pairs(some.unionByName(seen), work), "further_pairs")
+        fresh = written(new.select("a", "b").distinct().join(asked, ["a", "b"], "left_anti"), "fresh_pairs")
+        found = written(_linked(fresh, sets), "fresh_links")
+        asked, links = asked.unionByName(fresh), links.unionByName(found)
+        cells, known, forests = refuted(new), known.unionByName(new), 2 * forests
+        # Classes that a new link joins: only these edges are searched for components.
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        joined = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        labels = written(labels.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, component_id`` for every row of ``docs``."""
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -228,18 +260,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = sketched.groupBy("of").agg(F.min("id").alias("least_id"), F.first("prints").alias("prints"))
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct_sets")
     placed = cell_grid(nodes.select("node", "prints").mapInArrow(_replicas, REPLICA), "node", CELL_HOMES, CELL_MEMBERS)
-    tried = written(_pairs(placed, forest), "first_pairs")
-    pairs = written(tried.select("a", "b").distinct(), "candidates")
+    tried = written(_pairs(placed, first_forest), "first_pairs")
+    pairs = tried.select("a", "b").distinct()
     met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = _sets_of(nodes.join(met, "node", "left_semi").select("node", "of"), sketched, given)
     links = written(_linked(pairs, sets), "first_links")
-    # Only a cell with an edge that was not confirmed can hold further links.
-    open_cells = written(tried.join(links, ["a", "b"], "left_anti").select("cell").distinct(), "open_cells")
-    roots = written(components(links), "first_roots")
-    again = join_small(placed, open_cells, "cell", "inner", spread="node").join(roots, "node", "left")
-    more = _pairs(again.withColumn("root", F.coalesce("root", "node")), more_forests).select("a", "b").distinct()
-    more = written(more.join(pairs, ["a", "b"], "left_anti"), "further_pairs")
-    roots = components(written(links.unionByName(_linked(more, sets)), "links"))
+    roots = components(_further_links(tried, links, placed, sets))
     rooted = nodes.join(roots, "node", "left").select("of", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = written(rooted.join(least, "root").select("of", "component_id"), "classes")

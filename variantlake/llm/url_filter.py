@@ -12,6 +12,8 @@ whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -91,7 +93,11 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     table = featured(pages, id_col, url_col, rules)
     verdicts = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for r, v in rules])
     ruled = table.filter("rule is not null").withColumn("label", (verdicts == "block").cast("double"))
-    sample = written(ruled.orderBy(F.xxhash64("id"), "id").limit(rows).coalesce(4), "labelled")
+    # The rows of smallest hash; thinned by it where they lie, so that few are ordered.
+    share = (rows + 6 * math.sqrt(rows) + 20) / max(1, ruled.count())
+    hashed = ruled.withColumn("hash", F.xxhash64("id"))
+    thin = hashed if share >= 1 else hashed.filter(F.col("hash") <= int(-(2**63) + share * 2**64))
+    sample = written(thin.orderBy("hash", "id").limit(rows).drop("hash"), "labelled")
     kinds = sample.select("label").distinct().count()
     vectors = VectorAssembler(inputCols=list(NUMBERS), outputCol="features")
     if kinds == 2:

@@ -37,6 +37,7 @@ from .pieces import SPACE, Lattices, default_model, pieces, processor
 
 #: Labelled rows of each language that the fit takes at most.
 FIT_ROWS = 1_000
+MOST_LANGUAGES = 200
 SMOOTHING = 0.05
 FOLDS, HELD_OUT = 4, 2
 UNDETERMINED = "und"
@@ -142,14 +143,17 @@ def model_of(counts: dict[str, np.ndarray], vocabulary: str) -> Model:
 
 
 def picked_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
-    """``lang, text`` of at most ``rows`` rows of each language outside the held-out fold.
+    """``lang, text`` of at most ``rows`` rows of each language outside the held-out fold, of
+    the ``MOST_LANGUAGES`` most frequent languages (a bound on the table of pieces, 256 kB a
+    language, that goes through the driver; rarer values of a dirty column are not learned).
     Each language's rows are thinned by their hash to little more than ``rows`` where
     they lie, so that a frequent language is never gathered."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col, FOLDS) != HELD_OUT))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     known = known.withColumn("hash", F.xxhash64("id"))
     share = (F.lit(rows) + 6 * F.sqrt(F.lit(float(rows))) + 20) / F.count(F.lit(1))
-    shares = written(known.groupBy("lang").agg(share.alias("share")), "languages")
+    n = F.count(F.lit(1)).alias("n")
+    shares = written(known.groupBy("lang").agg(share.alias("share"), n).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).drop("n"), "languages")
     unit = F.shiftrightunsigned("hash", 11) * F.lit(2.0**-53)
     thin = join_small(known, shares, "lang", "inner", spread="hash").filter(unit <= F.col("share"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id", F.xxhash64("text")))

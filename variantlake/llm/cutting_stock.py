@@ -1,6 +1,10 @@
 """The cutting-stock problem by column generation, on integer size classes.
 
 Everything here is bounded by the number of classes, whatever the input holds.
+
+Defined cases: no demand gives no patterns; a class without demand is in none; equal values
+go to the smaller class first. Inputs are counts by class, so there are no nulls, texts or
+repeated rows here.
 """
 
 from __future__ import annotations

@@ -236,8 +236,9 @@ def _further_links(tried: DataFrame, links: DataFrame, placed: DataFrame, sets:
     labels = written(labels, "labels")
     known, forests = tried, 1
     while not cells.isEmpty():
-        some = held.join(cells, "cell", "left_semi").join(labels, "node").withColumn("other", F.lit(-1).cast("long"))
-        seen = known.join(cells, "cell", "left_semi").select("cell", F.lit(False).alias("home"), F.col("a").alias("node"), *[F.lit(0).cast("long").alias(c) for c in ("fp", "more", "root")], F.col("b").alias("other"))
+        held = written(join_small(held, cells, "cell", "left_semi", spread="node"), "open_members")  # fewer each round
+        some = held.join(labels, "node").withColumn("other", F.lit(-1).cast("long"))
+        seen = join_small(known, cells, "cell", "left_semi", spread="a").select("cell", F.lit(False).alias("home"), F.col("a").alias("node"), *[F.lit(0).cast("long").alias(c) for c in ("fp", "more", "root")], F.col("b").alias("other"))
         work = partial(more_forests, forests=forests)
         new = written(_pairs(some.unionByName(seen), work), "further_pairs")
         fresh = written(new.select("a", "b").distinct().join(asked, ["a", "b"], "left_anti"), "fresh_pairs")

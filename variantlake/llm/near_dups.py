@@ -43,7 +43,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from .common import join_small, written
 from .components import components
-from .simhash import SEED, anchors, by_cell, cell_grid, rows_with_ids
+from .simhash import SEED, anchors, cell_grid, rows_with_ids
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # as a fraction
@@ -149,12 +149,13 @@ def stars(x: np.ndarray, y: np.ndarray, far: np.ndarray, label: np.ndarray) -> l
         group[np.isin(group, classes)] = group[hub]
 
 
-def _edges(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
-    node, cell = rows["node"].to_numpy(), int(rows["cell"].iloc[0])
-    return [(cell, a, b) for a, b in zip(node[x].tolist(), node[y].tolist())]
+def _edges(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``cell, a, b`` of these pairs, a row each."""
+    node = rows["node"].to_numpy()
+    return np.stack([np.full(len(x), rows["cell"].iloc[0]), node[x], node[y]], axis=1)
 
 
-def first_forest(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
+def first_forest(rows: pd.DataFrame) -> np.ndarray:
     """``cell, a, b``: edges of a spanning forest of a cell's candidates."""
     x, y, far = _candidates(rows)
     index = np.unique(rows["node"].to_numpy(), return_inverse=True)[1]
@@ -162,7 +163,7 @@ def first_forest(rows: pd.DataFrame) -> list[tuple[int, int, int]]:
     return _edges(rows, x[picked], y[picked])
 
 
-def more_forests(rows: pd.DataFrame, forests: int) -> list[tuple[int, int, int]]:
+def more_forests(rows: pd.DataFrame, forests: int) -> np.ndarray:
     """``cell, a, b``: edges of so many forests without a common edge, each spanning the
     classes (``root``) of a cell by candidates that were not tried. What was tried are rows
     with ``other`` (no nulls: these would turn the fingerprints to floats)."""
@@ -178,21 +179,49 @@ def more_forests(rows: pd.DataFrame, forests: int) -> list[tuple[int, int, int]]
     x_node, y_node = node[x], node[y]
     left = np.flatnonzero(~np.isin(pair(x_node, y_node), known))
     left = left[np.unique(pair(x_node[left], y_node[left]), return_index=True)[1]]  # as home and as member
-    out = []
+    taken = []
     for _ in range(forests):
         picked = stars(x_node[left], y_node[left], far[left], of_node)
         if not picked:
             break
-        out += _edges(rows, x[left[picked]], y[left[picked]])
+        taken.append(left[picked])
         left = np.delete(left, picked)
-    return out
+    at = np.concatenate([*taken, np.zeros(0, np.int64)])
+    return _edges(rows, x[at], y[at])
 
 
-def _pairs(rows: DataFrame, work: Callable[[pd.DataFrame], list[tuple[int, int, int]]]) -> DataFrame:
+def _pairs(rows: DataFrame, work: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
     """``cell, a, b`` (a < b) that ``work`` finds in each cell of ``rows``."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Arrays of cells, not tuples of pairs: a cell may have many.
+        for whole in whole_cells(batches, work):
+            for edges in whole:
+                yield pd.DataFrame(edges, columns=["cell", "a", "b"])
+
     dealt = rows.repartition("cell").sortWithinPartitions("cell")
-    found = dealt.mapInPandas(lambda batches: by_cell(batches, work, ["cell", "a", "b"]), "cell long, a long, b long")
-    return found.select("cell", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return dealt.mapInPandas(found, "cell long, a long, b long").select("cell", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def whole_cells(batches: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame], np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """What ``work`` finds in each cell with a home and another row, by batch. Rows come
+    sorted by cell; a cell may go on in the next batch."""
+
+    def done(rows: pd.DataFrame) -> list[np.ndarray]:
+        cell, home = rows["cell"].to_numpy(), rows["home"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1), len(cell)]
+        found = [work(rows.iloc[i:j]) for i, j in zip(cuts, cuts[1:]) if j - i > 1 and home[i:j].any()]
+        return [np.concatenate(found)] if found else []
+
+    rest = None
+    for batch in batches:
+        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if len(batch):
+            last = int(np.searchsorted(batch["cell"].to_numpy(), batch["cell"].iloc[-1]))
+            rest = batch.iloc[last:]
+            yield done(batch.iloc[:last])
+    if rest is not None:
+        yield done(rest)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:

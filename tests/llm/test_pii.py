@@ -1,10 +1,18 @@
 """Personal data in every script, and people mentioned again."""
 
 import re
+from itertools import product
+
+import pytest
+from pyspark.sql import functions as F
 
 from variantlake.llm import pii
 
 
+SURNAMES = ["".join(x).capitalize() for x in product("bcdfghklmn", "aeiou", "lmnrst", "aeiou", ("ck", "ld", "ng", "rt", "ss", "tz", "wen"), ("", "er"))][:20_000]
+GIVEN = ["".join(x).capitalize() for x in product("bcdfg", "aeiou", "lmnrst", "aeiou")]
+
+
 def replaced(spark, *texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return [r.text for r in sorted(pii.surrogates(docs, key="change-me").collect(), key=lambda r: r.doc_id)]
@@ -77,4 +85,51 @@ def test_every_kind_keeps_its_format(spark):
 def test_other_keys_give_other_surrogates(spark):
     docs = spark.createDataFrame([(1, "a.b@x.org")], "doc_id long, text string")
     assert len({pii.surrogates(docs, key=k).first().text for k in ("a", "b", "c")}) == 3
-    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 64
+    with pytest.raises(ValueError):
+        pii.session_key(spark)
+    spark.conf.set(pii.KEY_SETTING, "mine")
+    assert pii.session_key(spark, "other") == "mine"
+    spark.conf.unset(pii.KEY_SETTING)
+    assert pii.session_key(spark, "other") == "other"
+
+
+def test_plans_hide_the_key(spark, capsys):
+    entities = spark.createDataFrame([("card", "4111111111111111"), ("given", "anna")], "kind string, canonical string")
+    noisy = entities.withColumn("noise", pii._noise(pii._hidden(spark, "hush-hush"), F.col("kind"), F.col("canonical"), F.lit(0)))
+    assert len({r.noise for r in noisy.collect()}) == 2
+    noisy.explain("extended")
+    assert "sha2" in (shown := capsys.readouterr().out) and "hush" not in shown
+
+
+def test_people_of_20000_surnames_stay_apart(spark):
+    people = [(f"{'Mr' if i % 2 else 'Mrs'} {g} {s}", g, s) for i, s in enumerate(SURNAMES) for g in [GIVEN[i % len(GIVEN)]]]
+    texts = [f"{whole} met {people[i - 1][0]}; {s} left and {people[i - 1][2]} stayed." for i, (whole, _, s) in enumerate(people)]
+    new, old = {}, set(SURNAMES) | set(GIVEN)
+    for i, t in enumerate(replaced(spark, *texts)):
+        m = re.fullmatch(r"Mrs? (\w+) (\w+) met Mrs? (\w+) (\w+); (\w+) left and (\w+) stayed\.", t)
+        assert m and m[2] == m[5] and m[4] == m[6] and old.isdisjoint(m.groups())
+        for role, word, made in (("s", i, m[2]), ("s", (i - 1) % len(people), m[4])):
+            assert new.setdefault((role, SURNAMES[word]), made) == made
+        for p, made in ((i, m[1]), (i - 1, m[3])):
+            female = people[p][0].startswith("Mrs")
+            assert new.setdefault((female, people[p][1]), made) == made and (not female or made.endswith("na"))
+    assert len(set(new.values())) == len(new) == len(SURNAMES) + len({(p[0].startswith("Mrs"), p[1]) for p in people})
+
+
+def test_forms_are_lengthened_only_where_they_are_full(spark):
+    """Numbers of nine digits keep their length; of the cards of a form with 100 valid
+    numbers, 30 are too many, so theirs get longer and stay valid."""
+    def card(i):
+        digits = f"41{i:02}"
+        return next(digits + str(c) for c in range(10) if luhn(digits + str(c)) % 10 == 0)
+
+    cards = [("card", card(i)) for i in range(30)]
+    rows = [*cards, *[("national", f"{i:09}") for i in range(3_000)], *[("phone", f"202{i:07}") for i in range(500)]]
+    got = pii.assign_surrogates(spark.createDataFrame(rows, "kind string, canonical string"), "change-me").collect()
+    assert len({(r.kind, r.surrogate) for r in got}) == len(rows) and not {(r.kind, r.surrogate) for r in got} & set(rows)
+    for r in got:
+        assert len(r.surrogate) == len(r.canonical)
+        assert r.kind != "card" or (luhn(r.surrogate) % 10 == 0 and r.surrogate[0] == "4")
+    more = [("card", f"4{i:02}{next(c for c in range(10) if luhn(f'4{i:02}{c}') % 10 == 0)}") for i in range(60)]
+    got = pii.assign_surrogates(spark.createDataFrame(more, "kind string, canonical string"), "change-me").collect()
+    assert len({r.surrogate for r in got}) == 60 and all(len(r.surrogate) == 5 and r.surrogate[0] == "4" and luhn(r.surrogate) % 10 == 0 for r in got)

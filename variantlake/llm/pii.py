@@ -5,30 +5,47 @@ numbers, names after a form of address) are found by one expression; a name foun
 then found in the rest of its text without its title too, whole or by one word. Each distinct
 entity, in a canonical form that its spellings share, gets one surrogate from a keyed
 hash: same type, length classes and punctuation; card and account numbers keep their check
-digits' validity, names keep gender and script. Surrogates are checked against each other and
-against all real entities; the losers are hashed again until none collide, so distinct
-entities stay distinct and one entity reads the same in every document.
+digits' validity, names keep gender and script. The words of names are entities by
+themselves, all in one space, and names are put together from them: so a surname reads the
+same with and without a given name, and two people of one text never come to share a word
+that they did not share. Surrogates are checked against each other and against all real
+entities; the losers are hashed again until none collide, so distinct entities stay
+distinct and one entity reads the same in every document.
+
+Entities are counted by the form of their surrogates (kind, length, fixed signs). Where they
+want more than ``FULL`` of all surrogates of a form, those of this form get as many signs more
+as make room; check digits are computed for the whole. No form is lengthened otherwise.
+
+The key reaches the expressions as a scalar subquery over one row, so plans and event logs
+do not show it.
 
 A document's new text depends on its text alone, so texts meet their replacements by
 content hash, and copies share one computation. Texts without an entity never shuffle.
 
 Defined cases: a null text stays null, an empty one empty; an empty table gives an
 empty result; repeated rows give repeated results; null ids are carried; very long texts and mentions are
-searched whole; where all surrogates of a length are taken, longer ones are made; other columns pass through (or are
-ignored by ``surrogates``), whatever their names.
+searched whole; other columns pass through (or are ignored by ``surrogates``), whatever
+their names.
 """
 
 from __future__ import annotations
 
-import secrets
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_small, written
+
+#: Entities may want this share of all surrogates of their form; beyond it those get longer.
+#: Half of the form's surrogates stay free at least, so attempts end soon.
+FULL = 0.25
 
-#: After so many attempts a surrogate gets a sign more, and so on: its length class may be used up.
-LENGTHEN_AFTER = 4
+LETTERS, CAPITALS, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
+CONSONANTS, VOWELS = ("bdfgklmnprstvz", "бвгдзклмнпрст"), ("aeiou", "аеиоу")
+MALE_ENDS, FEMALE_ENDS = ("nrs", "нрс"), ("na", "на")
+WORD_KINDS = ("given", "given_f", "given_m", "surname")
 
 FEMALE = "Mrs|Ms|Miss|Frau|Mme|Mlle|Madame|Señora|Sra|Signora|г-жа|госпожа"
 MALE = "Mr|Herr|Monsieur|Señor|Signor|г-н|господин"
@@ -45,20 +62,25 @@ WORD = r"\p{Lu}(?:['’-]?[\p{L}\p{M}]{2,}|[\p{L}\p{M}])(?:['’-][\p{L}\p{M}]{2
 NAME = rf"(?<!\p{{L}}){TITLES}++{WORD}(?:\x20{WORD})?"
 #: Entities of a group share their first signs, which decide whether it is tried.
 PATTERN = rf"{EMAIL}|(?=[0-9+(])(?:{IP}|{NATIONAL}|{PHONE}|{CARD})|(?=[A-Zг])(?:{IBAN}|{NAME})"
-DIGIT_KINDS = ("phone", "card", "national")
 
+#: Setting of a session that holds the key; its name is one that Spark's redaction hides.
+KEY_SETTING = "spark.variantlake.pii.secret"
+#: Of the registered queries over made-up tables, where a session sets none. Anybody can
+#: compute its surrogates anew, so it protects no real data.
+TEST_KEY = "key of the made-up tables"
 
-#: Setting of a session that holds the key.
-KEY_SETTING = "spark.variantlake.piiKey"
-_own_key: list[str] = []
 
+def session_key(spark: SparkSession, otherwise: str | None = None) -> str:
+    """The key that the session sets, else ``otherwise``; an error without either."""
+    key = spark.conf.get(KEY_SETTING, None) or otherwise
+    if not key:
+        raise ValueError(f"{KEY_SETTING} must hold the key of surrogates")
+    return key
 
-def session_key(spark: SparkSession) -> str:
-    """The key that the session sets; else one made for this driver, so that nobody can
-    compute its surrogates anew."""
-    if not _own_key:
-        _own_key.append(secrets.token_hex(32))
-    return spark.conf.get(KEY_SETTING, None) or _own_key[0]
+
+def _hidden(spark: SparkSession, key: str) -> Column:
+    """The key as a column that plans show without its value."""
+    return spark.sql("SELECT k FROM VALUES (:key) AS t(k)", {"key": key}).scalar()
 
 
 def _kind(m: Column) -> Column:
@@ -96,9 +118,9 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _noise(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
+def _noise(key: Column, kind: Column, canonical: Column, attempt: Column) -> Column:
     """128 hex digits from the key and the entity."""
-    of = lambda n: F.sha2(F.concat_ws("\x1f", F.lit(key), kind, canonical, attempt.cast("string"), F.lit(str(n))), 256)
+    of = lambda n: F.sha2(F.concat_ws("\x1f", key, kind, canonical, attempt.cast("string"), F.lit(str(n))), 256)
     return F.concat(of(0), of(1))
 
 
@@ -115,8 +137,8 @@ def _chars(s: Column, change) -> Column:
     return F.array_join(F.transform(F.filter(F.split(s, ""), lambda c: c != ""), change), "")
 
 
-def _digits(noise: Column, canonical: Column, keep: Column) -> Column:
-    return _chars(canonical, lambda c, i: F.when(i < keep, c).otherwise(_pick("0123456789", noise, i)))
+def _digits(noise: Column, like: Column, keep: Column) -> Column:
+    return _chars(like, lambda c, i: F.when(i < keep, c).otherwise(_pick(DIGITS, noise, i)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -127,22 +149,30 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(signs, lambda d, i: F.when((last - i) % 2 == 0, d).otherwise(doubled(d))), F.lit(0), lambda a, d: a + d)
 
 
-def _card(noise: Column, canonical: Column) -> Column:
+def _valid_card(canonical: Column) -> Column:
+    return _luhn(canonical) % 10 == 0
+
+
+def _card(noise: Column, like: Column, valid: Column) -> Column:
     """The first digit stays; a valid number gets a valid check digit."""
 
     def checked(made: Column) -> Column:
         body = F.substring(made, F.lit(1), F.length(made) - 1)
         check = F.pmod(10 - _luhn(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-        return F.when(_luhn(canonical) % 10 == 0, F.concat(body, check)).otherwise(made)
+        return F.when(valid, F.concat(body, check)).otherwise(made)
 
-    return _once(_digits(noise, canonical, F.lit(1)), checked)
+    return _once(_digits(noise, like, F.lit(1)), checked)
 
 
-def _email(noise: Column, canonical: Column) -> Column:
+def _top_level(email: Column) -> Column:
+    return F.substring_index(email, ".", -1)
+
+
+def _email(noise: Column, like: Column) -> Column:
     """Letters for letters, digits for digits; the top-level domain stays."""
-    fixed = F.length(canonical) - F.length(F.substring_index(canonical, ".", -1))
-    letter = lambda c, i: F.when(c.rlike(r"\p{IsCyrillic}"), _pick("абвгдежзиклмнопрстуфхцчшэюя", noise, i)).otherwise(_pick("abcdefghijklmnopqrstuvwxyz", noise, i))
-    return _chars(canonical, lambda c, i: F.when(i >= fixed, c).when(c.rlike(r"\p{N}"), _pick("0123456789", noise, i)).when(c.rlike(r"\p{L}"), letter(c, i)).otherwise(c))
+    fixed = F.length(like) - F.length(_top_level(like))
+    letter = lambda c, i: F.when(c.rlike(r"\p{IsCyrillic}"), _pick(CYRILLIC, noise, i)).otherwise(_pick(LETTERS, noise, i))
+    return _chars(like, lambda c, i: F.when(i >= fixed, c).when(c.rlike(r"\p{N}"), _pick(DIGITS, noise, i)).when(c.rlike(r"\p{L}"), letter(c, i)).otherwise(c))
 
 
 def _mod97(iban: Column) -> Column:
@@ -152,66 +182,104 @@ def _mod97(iban: Column) -> Column:
     return F.aggregate(signs, F.lit(0), step)
 
 
-def _iban(noise: Column, canonical: Column) -> Column:
+def _valid_iban(canonical: Column) -> Column:
+    return _mod97(canonical) == 1
+
+
+def _iban(noise: Column, like: Column, valid: Column) -> Column:
     """The country stays; a valid number gets valid check digits."""
 
     def checked(made: Column) -> Column:
         country, body = F.substring(made, 1, 2), F.substring(made, F.lit(5), F.length(made))
         digits = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), body))).cast("string"), 2, "0")
-        return F.when(_mod97(canonical) == 1, F.concat(country, digits, body)).otherwise(made)
+        return F.when(valid, F.concat(country, digits, body)).otherwise(made)
 
-    signs = lambda c, i: F.when(i < 2, c).when(c.rlike(r"\d"), _pick("0123456789", noise, i)).otherwise(_pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ", noise, i))
-    return _once(_chars(canonical, signs), checked)
+    signs = lambda c, i: F.when(i < 2, c).when(c.rlike(r"\d"), _pick(DIGITS, noise, i)).otherwise(_pick(CAPITALS, noise, i))
+    return _once(_chars(like, signs), checked)
 
 
-def _phone(noise: Column, canonical: Column) -> Column:
-    """What is before the last ten digits stays; area and exchange begin with 2 to 9."""
-    n = F.length(canonical)
-    keep = F.greatest(n - 10, F.lit(0))
-    return _chars(canonical, lambda c, i: F.when(i < keep, c).when((i == n - 10) | (i == n - 7), _pick("23456789", noise, i)).otherwise(_pick("0123456789", noise, i)))
+def _phone(noise: Column, like: Column, n: Column) -> Column:
+    """Of a number of ``n`` digits what is before the last ten stays; area and exchange
+    begin with 2 to 9."""
+    return _chars(like, lambda c, i: F.when(i < n - 10, c).when((i == n - 10) | (i == n - 7), _pick("23456789", noise, i)).otherwise(_pick(DIGITS, noise, i)))
 
 
-def _name(key: str, gender: Column, canonical: Column, attempt: Column) -> Column:
-    """Each word of a name by itself, so that a surname alone reads as it does after
-    a given name. A given name's ending shows its gender, if it is known."""
-    words = F.split(canonical, " ")
+def _word(noise: Column, kind: Column, canonical: Column, more: Column) -> Column:
+    """A word of a name, in lower case and in its script. A given name's ending shows its
+    gender, if it is known."""
+    cyrillic = canonical.rlike(r"\p{IsCyrillic}")
+    pick = lambda of, n: F.when(cyrillic, _pick(of[1], noise, n)).otherwise(_pick(of[0], noise, n))
+    body = F.concat(*[pick(of, F.lit(n + i)) for n in range(0, 6, 2) for i, of in enumerate((CONSONANTS, VOWELS))])
+    longer = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), more), lambda i: pick((LETTERS, CYRILLIC), i + 6)), "")).otherwise("")
+    female = F.when(cyrillic, FEMALE_ENDS[1]).otherwise(FEMALE_ENDS[0])
+    end = F.when(kind == "given_f", female).when(kind == "given_m", pick(MALE_ENDS, F.lit(6))).otherwise(pick(CONSONANTS, F.lit(6)))
+    return F.concat(body, longer, end)
 
-    def word(w: Column, i: Column) -> Column:
-        given = (F.size(words) > 1) & (i == 0)
-        role = F.when(given, "given").otherwise("surname")
-        cyrillic = w.rlike(r"\p{IsCyrillic}")
-        consonant, vowel = ("bdfgklmnprstvz", "бвгдзклмнпрст"), ("aeiou", "аеиоу")
 
-        def made(noise: Column) -> Column:
-            pick = lambda latin, other, n: F.when(cyrillic, _pick(other, noise, F.lit(n))).otherwise(_pick(latin, noise, F.lit(n)))
-            body = F.concat(*[x for n in range(0, 6, 2) for x in (pick(*consonant, n), pick(*vowel, n + 1))])
-            end = F.when(given & (gender == "f"), F.when(cyrillic, "на").otherwise("na")).when(given & (gender == "m"), pick("nrs", "нрс", 6)).otherwise(pick(*consonant, 6))
-            return F.initcap(F.concat(body, end))
+def _is_word(kind: Column) -> Column:
+    return kind.isin(*WORD_KINDS)
 
-        # A second attempt changes the given name only, so the surname reads as it does alone.
-        tries = F.when((F.size(words) > 1) & (i > 0), 0).otherwise(attempt)
-        return _once(_noise(key, role, w, tries), made)
 
-    return F.array_join(F.transform(words, word), " ")
+def _surrogate(noise: Column, kind: Column, canonical: Column, more: Column) -> Column:
+    """A surrogate with ``more`` signs than its form has."""
+    first = F.when(canonical.rlike(r"^\p{IsCyrillic}"), "я").otherwise("a")
+    like = F.when(kind == "email", F.concat(F.repeat(first, more), canonical)).otherwise(F.concat(canonical, F.repeat(F.lit("0"), more)))
+    octets = F.transform(F.sequence(F.lit(0), more + 3), lambda i: (_byte(noise, i) % 254 + 1).cast("string"))
+    return (
+        F.when(_is_word(kind), _word(noise, kind, canonical, more))
+        .when(kind == "email", _email(noise, like))
+        .when(kind == "ip", F.array_join(octets, "."))
+        .when(kind == "iban", _iban(noise, like, _valid_iban(canonical)))
+        .when(kind == "phone", _phone(noise, like, F.length(canonical)))
+        .when(kind == "card", _card(noise, like, _valid_card(canonical)))
+        .otherwise(_digits(noise, like, F.lit(0)))
+    )
+
 
+def _form(kind: Column, canonical: Column) -> tuple[Column, Column]:
+    """What surrogates of an entity have in common, hashed, and the decimal logarithm of
+    how many there are."""
+    n = F.length(canonical)
+    flag = lambda x: x.cast("int").cast("string")
+    many = lambda s, sign: F.length(s) - F.length(F.replace(s, F.lit(sign), F.lit("")))
+    cyrillic = canonical.rlike(r"\p{IsCyrillic}")
+    head = F.regexp_replace(F.substring(canonical, F.lit(1), n - F.length(_top_level(canonical))), r"\p{N}", "0")
+    head = F.regexp_replace(F.regexp_replace(head, r"[\p{L}&&[^\p{IsCyrillic}]]", "a"), r"[\p{L}&&\p{IsCyrillic}]", "я")
+    account = F.regexp_replace(F.regexp_replace(F.substring(canonical, F.lit(5), n), "[A-Z]", "A"), r"\d", "0")
+    form = (
+        F.when(_is_word(kind), flag(cyrillic))
+        .when(kind == "email", F.concat(head, _top_level(canonical)))
+        .when(kind == "iban", F.concat(F.substring(canonical, 1, 2), account, flag(_valid_iban(canonical))))
+        .when(kind == "phone", F.concat(F.substring(canonical, F.lit(1), F.greatest(n - 10, F.lit(0))), F.lit(" "), n.cast("string")))
+        .when(kind == "card", F.concat_ws(" ", F.substring(canonical, 1, 1), n.cast("string"), flag(_valid_card(canonical))))
+        .otherwise("")
+    )
+    log = math.log10
+    words = [3 * log(len(CONSONANTS[i])) + 3 * log(len(VOWELS[i])) for i in (0, 1)]
+    ends = lambda of: F.when(cyrillic, words[1] + log(len(of[1]))).otherwise(words[0] + log(len(of[0])))
+    begins = F.when(n >= 10, 2).when(n >= 7, 1).otherwise(0)
+    room = (
+        F.when(kind == "given_f", ends(("x", "x")))
+        .when(kind == "given_m", ends(MALE_ENDS))
+        .when(_is_word(kind), ends(CONSONANTS))
+        .when(kind == "email", many(head, "0") + many(head, "a") * log(len(LETTERS)) + many(head, "я") * log(len(CYRILLIC)))
+        .when(kind == "ip", F.lit(4 * log(254)))
+        .when(kind == "iban", many(account, "0") + many(account, "A") * log(len(CAPITALS)) + F.when(_valid_iban(canonical), 0).otherwise(2))
+        .when(kind == "phone", F.least(n, F.lit(10)) - begins * (1 - log(8)))
+        .when(kind == "card", n - 1 - _valid_card(canonical).cast("int"))
+        .otherwise(n)
+    )
+    return F.sha2(F.concat_ws("\x1f", kind, form), 256), room.cast("double")
 
-def _surrogate(key: str, kind: Column, gender: Column, canonical: Column, attempt: Column) -> Column:
-    def made(noise: Column) -> Column:
-        octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_byte(noise, i) % 254 + 1).cast("string"))
-        more = (attempt / LENGTHEN_AFTER).cast("int")
-        letters, digits = (F.array_join(F.transform(F.sequence(F.lit(0), more), lambda i: F.when(i > 0, _pick(x, noise, i + 40)).otherwise("")), "") for x in ("abcdefghijklmnopqrstuvwxyz", "0123456789"))
-        plain = (
-            F.when(kind == "email", _email(noise, canonical))
-            .when(kind == "ip", F.array_join(octets, "."))
-            .when(kind == "iban", _iban(noise, canonical))
-            .when(kind == "name", _name(key, gender, canonical, attempt))
-            .when(kind == "phone", _phone(noise, canonical))
-            .when(kind == "card", _card(noise, canonical))
-            .otherwise(_digits(noise, canonical, F.lit(0)))
-        )
-        return F.when(kind == "email", F.concat(letters, plain)).when(kind == "name", F.concat(plain, letters)).when(kind == "ip", plain).otherwise(F.concat(plain, digits))
 
-    return _once(_noise(key, kind, canonical, attempt), made)
+def _with_more(units: DataFrame) -> DataFrame:
+    """``units`` with the signs that their surrogates get beyond their form's."""
+    form, room = _form(F.col("kind"), F.col("canonical"))
+    formed = written(units.withColumn("form", form).withColumn("room", room), "forms")
+    sign = F.when(F.first("kind").isin("email", *WORD_KINDS), math.log10(len(LETTERS))).otherwise(1.0)
+    lacking = F.log10(F.count(F.lit(1)) / FULL) - F.first("room")
+    full = formed.groupBy("form").agg(F.ceil(lacking / sign).cast("int").alias("more")).filter("more > 0")
+    return join_small(formed, written(full, "full_forms"), "form", "left", "canonical").drop("form", "room").withColumn("more", F.coalesce("more", F.lit(0)))
 
 
 def _spelled(kind: Column, m: Column, surrogate: Column) -> Column:
@@ -227,23 +295,45 @@ def _spelled(kind: Column, m: Column, surrogate: Column) -> Column:
     return F.when(kind == "email", cased).when(kind == "ip", surrogate).when(kind.startswith("name"), title).otherwise(filled)
 
 
+def _settled(units: DataFrame, key: str) -> DataFrame:
+    """``kind, canonical, surrogate`` for distinct ``kind, canonical``. Of those that want
+    one surrogate the smallest gets it; the others try again with the next attempt."""
+    space = F.when(_is_word(F.col("kind")), "word").otherwise(F.col("kind"))
+    waiting = written(_with_more(units).withColumn("space", space), "units")
+    real = waiting.select("space", F.col("canonical").alias("surrogate"))
+    hidden, done, attempt = _hidden(units.sparkSession, key), None, 0
+    while True:
+        noisy = waiting.withColumn("noise", _noise(hidden, F.col("kind"), F.col("canonical"), F.lit(attempt)))
+        tried = noisy.withColumn("surrogate", _surrogate(F.col("noise"), F.col("kind"), F.col("canonical"), F.col("more")))
+        taken = real if done is None else real.unionByName(done.select("space", "surrogate"))
+        free = tried.join(taken, ["space", "surrogate"], "left_anti")
+        won = free.groupBy("space", "surrogate").agg(F.min(F.struct("canonical", "kind")).alias("u")).select("space", "surrogate", "u.kind", "u.canonical")
+        done = written(won if done is None else done.unionByName(won), "surrogates")
+        waiting = written(waiting.join(done, ["kind", "canonical"], "left_anti"), "waiting")
+        if waiting.isEmpty():
+            return done.select("kind", "canonical", "surrogate")
+        attempt += 1
+
+
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind, canonical, surrogate`` for distinct ``kind, canonical``: distinct, and none a
-    real entity. A column ``gender`` (f, m or null) gives names their ending. Of those that want one surrogate the smallest gets it; the others try
-    again with the next attempt."""
-    real = entities.select("kind", F.col("canonical").alias("surrogate"))
+    real entity. Names are made of their words' surrogates, the first of several words being a
+    given name; a column ``gender`` (f, m or null) gives it its ending."""
     gender = F.col("gender") if "gender" in entities.columns else F.lit(None).cast("string")
-    done = None
-    waiting = entities.withColumn("gender", gender).withColumn("attempt", F.lit(0))
-    while True:
-        tried = waiting.withColumn("surrogate", _surrogate(key, F.col("kind"), F.col("gender"), F.col("canonical"), F.col("attempt")))
-        taken = real if done is None else real.unionByName(done.select("kind", "surrogate"))
-        free = tried.join(taken.withColumn("surrogate", F.col("surrogate")), ["kind", "surrogate"], "left_anti")
-        won = free.groupBy("kind", "surrogate").agg(F.min("canonical").alias("canonical"))
-        done = written(won.select("kind", "canonical", "surrogate") if done is None else done.unionByName(won), "surrogates")
-        waiting = written(waiting.join(done, ["kind", "canonical"], "left_anti").withColumn("attempt", F.col("attempt") + 1), "waiting")
-        if waiting.isEmpty():
-            return done
+    words = F.split("canonical", " ")
+    given = (F.col("at") == 0) & (F.col("n") > 1)
+    role = F.when(given, F.concat(F.lit("given"), F.coalesce(F.concat(F.lit("_"), gender), F.lit("")))).otherwise("surname")
+    named = entities.filter("kind = 'name'").withColumn("n", F.size(words)).select("*", F.posexplode(words).alias("at", "word")).withColumn("role", role)
+    named = named.select("canonical", "at", "word", F.col("role").alias("word_kind"))
+    others = entities.filter("kind <> 'name'").select("kind", "canonical")
+    units = others.unionByName(named.select(F.col("word_kind").alias("kind"), F.col("word").alias("canonical")).distinct())
+    settled = _settled(units, key)
+    unit = lambda kind, word: F.concat_ws(" ", kind, word).alias("unit")
+    of_words = settled.filter(_is_word(F.col("kind"))).select(unit("kind", "canonical"), F.initcap("surrogate").alias("new"))
+    met = join_small(named.select("canonical", "at", unit("word_kind", "word")), of_words, "unit", "inner", "canonical")
+    made = met.groupBy("canonical").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("l"))
+    names = made.select(F.lit("name").alias("kind"), "canonical", F.array_join("l.new", " ").alias("surrogate"))
+    return written(settled.filter(~_is_word(F.col("kind"))).unionByName(names), "assigned")
 
 
 def _names(found: Column) -> Column:

@@ -53,7 +53,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(_table(spark, sf_dir, "documents"), pii.session_key(spark))
+    return pii.surrogates(_table(spark, sf_dir, "documents"), pii.session_key(spark, pii.TEST_KEY))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,3 +48,16 @@ def test_rows_that_share_an_id(spark):
     assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == 401
     right = out.join(labels.distinct(), "doc_id").filter("quality is not null and (score > 0.5) = (quality = 1)").count()
     assert right == 400
+
+
+def test_long_labelled_texts_leave_their_place_to_others(spark, monkeypatch):
+    """Nine of ten labelled texts are too long for the fit, or empty; of the others all can be picked."""
+    monkeypatch.setattr(q, "FIT_CHARS", 200)
+    text = lambda i: ("fine words " if i % 2 else "### $$$ ") * (5 if i % 20 < 2 else 400 * (i % 3))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(2_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 and i % 4 == 1)) for i in range(2_000)], "doc_id long, quality int")
+    model = q.fit_quality(docs, labels.filter("quality = doc_id % 2"), rows=40)
+    assert model.score("fine words " * 9) > 0.5 > model.score("### $$$ " * 9)
+    long_only = docs.filter("length(text) > 200")
+    assert q.fit_quality(long_only, labels).score("fine words") == pytest.approx(0.25, abs=0.03)
+    assert q.fit_quality(docs, labels.filter("quality = 1")).score("x") == 1.0 and q.fit_quality(docs, labels.limit(0)).score("x") == 0.5

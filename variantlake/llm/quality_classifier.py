@@ -6,7 +6,7 @@ sum goes through a logistic curve fitted to other labelled texts, weighed by the
 shares of the labels, so the score is a probability.
 
 The fit takes at most ``FIT_ROWS`` labelled ids of each class, the first by a hash of the
-id, with one text each, and of these the texts of at most ``FIT_CHARS`` characters: at
+id among those that have a text of 1 to ``FIT_CHARS`` characters, and one such text each: at
 most 2 * FIT_ROWS * FIT_CHARS characters come to the driver. Everything is scored, by its
 whole text.
 
@@ -29,7 +29,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, written
 
 #: Labelled rows per class that the fit takes at most.
 FIT_ROWS = 2_000
@@ -116,24 +116,28 @@ def fit(labelled: list[tuple[str, int]], good_share: float | None = None) -> Mod
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Model:
     """Fit on at most ``rows`` labelled ids of each class, held-out fold excluded.
 
-    The ids are picked from the labels alone. Each class is thinned by the ids' hash to
-    little more than ``rows`` where its rows lie, so that none is gathered whole."""
+    The ids are picked among those with a text that can take part. Each class is thinned by
+    the ids' hash to little more than ``rows`` where its rows lie, so that none is gathered
+    whole. The share of good labels is that of all labels."""
     learn = labels.filter(F.col(label_col).isin(0, 1) & (fold(id_col, FOLDS) != HELD_OUT)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
-    learn = learn.withColumn("hash", F.xxhash64("id"))
-    counts = {r["y"]: r["n"] for r in learn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    if len(counts) < 2:
-        return fit([], float(next(iter(counts), 0.5)))
-    share = {k: (rows + 6 * math.sqrt(rows) + 20) / n for k, n in counts.items()}
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text").between(1, FIT_CHARS))
+    usable = texts.select("id").distinct().withColumn("usable", F.lit(True))
+    learn = written(learn.join(usable, "id", "left").withColumn("hash", F.xxhash64("id")), "labelled")
+    counts = {r["y"]: r for r in learn.groupBy("y").agg(F.count(F.lit(1)).alias("n"), F.count("usable").alias("m")).collect()}  # two rows
+    good, bad = ((counts[y]["n"] if y in counts else 0) for y in (1, 0))
+    good_share = good / (good + bad) if good + bad else 0.5
+    if len(counts) < 2 or not all(r["m"] for r in counts.values()):
+        return fit([], good_share)
+    share = {k: (rows + 6 * math.sqrt(rows) + 20) / r["m"] for k, r in counts.items()}
     unit = F.shiftrightunsigned("hash", 11) * F.lit(2.0**-53)
-    thin = learn.filter(unit <= F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
+    thin = learn.filter(F.col("usable") & (unit <= F.when(F.col("y") == 1, share[1]).otherwise(share[0])))
     picked = (
         thin.withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy("hash", "id")))
         .filter(F.col("nth") <= rows).select("id", "y", "hash")
     )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= FIT_CHARS)
     found = texts.join(F.broadcast(picked), "id").groupBy("y", "hash", "id").agg(F.min("text").alias("text")).collect()  # at most 2 * rows
     order = sorted(found, key=lambda r: (r["y"], r["hash"], r["id"]))
-    return fit([(r["text"], r["y"]) for r in order], counts[1] / (counts[0] + counts[1]))
+    return fit([(r["text"], r["y"]) for r in order], good_share)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ def crowded(tmp_path_factory):
     return out, con
 
 
-@pytest.mark.parametrize("name", ["explained"])
+@pytest.mark.parametrize("name", ["explained", "merged_answers"])
 def test_last_answer_of_two_results(spark, crowded, name):
     path, con = crowded
     shared = entry.queries()["explained"](spark, path).groupBy("sample_id", "rsid").count().filter("count > 1")

@@ -33,12 +33,16 @@ def explained(results: DataFrame, answers: DataFrame, product: str = "This libra
     """Results with ``explanation``: the answer, checked for diagnostic language, with the
     variant's warnings and the disclaimer; without an answer the raw data and the reason.
     Also ``answered`` and ``flagged``. Only slim answers are aggregated; results keep their
-    rows."""
+    rows. Those with ``gene`` and ``facts`` need no lists."""
     told = last_answers(answers.select(*KEY, "answer", "reason", "ordinal")).drop("ordinal")
     met = results.join(told, KEY, "left")
     answer = F.col("answer")
-    notes = texts.warnings(F.col("clinvar"), F.col("gwas"), F.col("rsid"))
-    shown = F.when(answer.isNotNull(), texts.wrapped(texts.safe_text(answer), notes, product)).otherwise(texts.fallback_text(reason=F.coalesce("reason", F.lit(texts.NO_ANSWER))))
+    reason = F.coalesce("reason", F.lit(texts.NO_ANSWER))
+    if "facts" in results.columns:
+        notes, unanswered = texts.gene_warnings(F.col("gene"), F.col("rsid")), texts.fallback_of(F.col("facts"), reason=reason)
+    else:
+        notes, unanswered = texts.warnings(F.col("clinvar"), F.col("gwas"), F.col("rsid")), texts.fallback_text(reason=reason)
+    shown = F.when(answer.isNotNull(), texts.wrapped(texts.safe_text(answer), notes, product)).otherwise(unanswered)
     out = met.withColumn("explanation", shown).withColumn("answered", answer.isNotNull()).withColumn("flagged", texts.is_diagnostic(answer))
     return out.drop("answer", "reason")
 

@@ -57,6 +57,13 @@ def test_printed_results_are_computed_once(spark):
         assert "o_orderkey" not in plan(registry.queries()[name](spark, DIR)), name
 
 
+def test_two_analyses_share_the_table_of_ranks(spark, monkeypatch):
+    made, slim = [], registry.slim_table
+    monkeypatch.setattr(registry, "slim_table", lambda *given: made.append(given) or slim(*given))
+    assert registry.replaced_results(spark, DIR).count() > 0
+    assert len(made) == 1
+
+
 def test_written_once_keeps_rows(spark):
     df = spark.range(5).select("id", F.when(F.col("id") > 2, "x").alias("t"))
     assert sorted(map(str, written_once(df).collect())) == sorted(map(str, df.collect()))

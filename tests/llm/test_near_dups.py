@@ -110,3 +110,29 @@ def test_near_stage_two_hubs_chains_and_lost_originals(spark):
     want, links = smallest_alike(dict(rows))
     kept = sorted(r.doc_id for r in corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
     assert len(links) > 150 and len(want) > 40 and kept == sorted(want)
+
+
+def lost_copies(rng, n):
+    """Copies of a text that is not there, most pairs just below the bound, some above."""
+    base = [f"l{rng.randrange(5000)}" for _ in range(200)]
+    return [(c, " ".join(changed(rng, base, 3 + c % 2, f"o{c}"))) for c in range(n)]
+
+
+@pytest.mark.parametrize("block", [4_000, 40])
+def test_near_stage_rows_grow_with_texts_not_pairs(spark, monkeypatch, block):
+    from variantlake.llm import near_dups
+
+    counts, write = {}, near_dups.written
+
+    def counted(df, label, *more):
+        out = write(df, label, *more)
+        counts[label] = max(out.count(), counts.get(label, 0))
+        return out
+
+    monkeypatch.setattr(near_dups, "written", counted)
+    monkeypatch.setattr(near_dups, "BLOCK_TEXTS", block, raising=False)
+    rows = lost_copies(random.Random(13), 320)
+    want, links = smallest_alike(dict(rows))
+    kept = sorted(r.doc_id for r in corpus_pipeline.near(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
+    assert kept == sorted(want) and len(links) < 0.5 * 320 * 319 / 2
+    assert max(counts.values()) < 30 * len(rows), counts

@@ -3,22 +3,21 @@
 Two texts are linked if the Jaccard similarity of their sets of five-word shingles is at
 least ``SIMILARITY``. A fingerprint of 64 bits cannot tell 0.8 from less (such texts
 differ in about 10 bits of 64), so the fingerprint here has six lanes of 64 bits, and
-every candidate is confirmed by its exact similarity. Candidates come from anchors, as in
-``simhash``: each lane's three blocks send a fingerprint to the nearest word of the Golay
-code and to all within 4 bits, and homes meet members per anchor. Texts at similarity 0.8
-share an anchor of one block with probability 0.44 or more, so all eighteen blocks miss a
-pair with probability 0.00003 (0.000001 at 0.85). What meets and differs in at
-most ``NEAR_BITS`` of the first 128 bits is a candidate (0.9999 of pairs at 0.8).
-
-A cell returns the edges of a spanning forest of its candidates, so a large group of copies
-costs no squares; a pair meets in about eight cells, each with a forest of its own. The
-forest is made of stars: the text with most near candidates is joined to all of them, which
-in a group of copies of one text is that text. Where one of these edges turns out to be too
-dissimilar, its cell is taken again, and forests of pairs not yet tried span the classes
-that are left: one forest, then two, four and so on, until no cell has an untried candidate
-between two classes. So no link between candidates is lost, in rounds that grow with the
-logarithm of a group; texts that are all alike just below the bound are in the end compared
-pair by pair, since nothing less can tell. Classes are the components of the confirmed links.
+links are found by exact similarity. Candidates come from anchors, as in ``simhash``: each
+lane's three blocks send a fingerprint to the nearest word of the Golay code and to all
+within 4 bits, and homes meet members per anchor. Texts at similarity 0.8 share an anchor
+of one block with probability 0.44 or more, so all eighteen blocks miss a pair with
+probability 0.00003 (0.000001 at 0.85). What meets and differs in at most ``NEAR_BITS`` of
+the first 192 bits is a candidate: five standard deviations above texts at 0.8, six below
+texts that have nothing in common.
+
+A cell returns a spanning forest of its candidates, so rows grow with texts, not pairs.
+Whatever candidates join is a group, whose texts' sets meet in one task: each text is
+counted against all others of its group by an inverted index of shingles, whether they
+are candidates themselves or not, and a spanning forest of the links is returned. A large
+group is cut into blocks of bounded size, and each two blocks meet in a task of their own;
+so its work grows with the square of its size, its rows with the number of its blocks.
+Classes are the components of the links.
 
 Defined cases: texts with equal sets (null and empty ones too) are one class; fewer
 words than a shingle give one shingle; repeated rows share a class, and rows that share
@@ -29,7 +28,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 from itertools import accumulate
 
@@ -43,16 +42,17 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, Stru
 
 from .common import join_small, written
 from .components import components
+from .pieces import ragged
 from .simhash import SEED, anchors, cell_grid, rows_with_ids
 
 SHINGLE = 5
 SIMILARITY = (4, 5)  # as a fraction
 LANES = 6
-#: Bits of the first two lanes that a candidate pair may differ in.
-NEAR_BITS = 36
-CELL_HOMES, CELL_MEMBERS = 500, 2_000
-#: Bits that most pairs above the bound differ in at most; their number makes a hub.
-HUB_BITS = 24
+#: Bits of the first three lanes that a candidate pair may differ in.
+NEAR_BITS = 54
+CELL_HOMES, CELL_MEMBERS = 4_000, 16_000
+#: Texts and shingles of a block of a large group, about.
+BLOCK_TEXTS, BLOCK_SHINGLES = 4_000, 2_000_000
 STEPS = np.random.default_rng(SEED).integers(0, 1 << 63, LANES, dtype=np.uint64)
 
 
@@ -90,212 +90,183 @@ def lanes(found: np.ndarray) -> list[int]:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets, prints = [], []
+        sets, sizes, prints = [], [], []
         for text in batch.column("text"):
             found = shingles(text.as_py())
             sets.append(set_hash(found))
+            sizes.append(len(found))
             prints.append(lanes(found))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], ["id", "of", "prints"])
+        columns = [batch.column("id"), pa.array(sets, pa.binary()), pa.array(sizes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["id", "of", "size", "prints"])
 
 
-def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first two lanes at every anchor of every lane."""
+def _replicas(batches: Iterator[pa.RecordBatch], of: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """The first three lanes at every anchor of the lanes ``of``."""
     for batch in batches:
         node = batch.column("node").to_numpy()
         prints = np.array(batch.column("prints").to_pylist(), np.int64).reshape(-1, LANES)
-        for lane in range(LANES):
+        for lane in of:
             key, row, home = anchors(np.ascontiguousarray(prints[:, lane]))
-            columns = [key + (lane << 14), node[row], prints[row, 0], prints[row, 1], home]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "fp", "more", "home"])
+            columns = [key + (lane << 14), node[row], *(prints[row, i] for i in range(3)), home]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "fp", "more", "last", "home"])
 
 
-REPLICA = "key int, node long, fp long, more long, home boolean"
+REPLICA = "key int, node long, fp long, more long, last long, home boolean"
 
 
-def _candidates(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of a cell's homes and members that are near, and their distances."""
-    fp, more, node = rows["fp"].to_numpy().view(np.uint64), rows["more"].to_numpy().view(np.uint64), rows["node"].to_numpy()
+def joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``label`` (the least place of each place's class) once these places are joined."""
+    while True:
+        a, b = label[x], label[y]
+        far = np.flatnonzero(a != b)
+        if not len(far):
+            return label
+        x, y, a, b = x[far], y[far], a[far], b[far]
+        to = np.arange(len(label))
+        np.minimum.at(to, np.maximum(a, b), np.minimum(a, b))
+        while ((on := to[to]) != to).any():
+            to = on
+        label = to[label]
+
+
+def _edges(names: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """``a, b``: each place's name and that of its class, but for the class's own."""
+    own = np.flatnonzero(label != np.arange(len(label)))
+    return np.stack([names[own], names[label[own]]], axis=1)
+
+
+def near_forest(rows: pd.DataFrame) -> np.ndarray:
+    """``a, b``: edges that join what the candidates of a cell join. Homes are compared with
+    all rows, a few at a time, so a cell of copies holds no list of its pairs."""
+    fp, more, last = (rows[c].to_numpy().view(np.uint64) for c in ("fp", "more", "last"))
+    names, place = np.unique(rows["node"].to_numpy(), return_inverse=True)
+    label = np.arange(len(names))
     homes = np.flatnonzero(rows["home"].to_numpy())
-    found = []
     for i in range(0, len(homes), 64):
         h = homes[i : i + 64]
         far = np.bitwise_count(fp[h, None] ^ fp[None, :]) + np.bitwise_count(more[h, None] ^ more[None, :])
-        a, b = np.nonzero((far <= NEAR_BITS) & (node[h, None] != node[None, :]))
-        found.append((h[a], b, far[a, b]))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def stars(x: np.ndarray, y: np.ndarray, far: np.ndarray, label: np.ndarray) -> list[int]:
-    """Which of the pairs ``x, y`` make a spanning forest of ``label``'s classes: the node
-    with most near pairs to other classes is joined to each of them by a nearest pair, and
-    so on with what is left. So a text is tried against its own copies before these are
-    tried against each other."""
-    picked: list[int] = []
-    group, at = label.copy(), np.arange(len(x))
-    while True:
-        at = at[group[x[at]] != group[y[at]]]
-        if not len(at):
-            return picked
-        near = at[far[at] <= HUB_BITS]
-        near = near if len(near) else at
-        hub = int(np.bincount(np.concatenate([x[near], y[near]])).argmax())
-        mine = at[(x[at] == hub) | (y[at] == hub)]
-        mine = mine[np.argsort(far[mine], kind="stable")]
-        others = group[np.where(x[mine] == hub, y[mine], x[mine])]
-        classes, first = np.unique(others, return_index=True)
-        picked += mine[first].tolist()
-        group[np.isin(group, classes)] = group[hub]
-
-
-def _edges(rows: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """``cell, a, b`` of these pairs, a row each."""
-    node = rows["node"].to_numpy()
-    return np.stack([np.full(len(x), rows["cell"].iloc[0]), node[x], node[y]], axis=1)
-
-
-def first_forest(rows: pd.DataFrame) -> np.ndarray:
-    """``cell, a, b``: edges of a spanning forest of a cell's candidates."""
-    x, y, far = _candidates(rows)
-    index = np.unique(rows["node"].to_numpy(), return_inverse=True)[1]
-    picked = stars(index[x], index[y], far, np.arange(len(rows)))
-    return _edges(rows, x[picked], y[picked])
-
-
-def more_forests(rows: pd.DataFrame, forests: int) -> np.ndarray:
-    """``cell, a, b``: edges of so many forests without a common edge, each spanning the
-    classes (``root``) of a cell by candidates that were not tried. What was tried are rows
-    with ``other`` (no nulls: these would turn the fingerprints to floats)."""
-    tried, rows = rows[rows["other"] >= 0], rows[rows["other"] < 0]
-    x, y, far = _candidates(rows)
-    names, node = np.unique(rows["node"].to_numpy(), return_inverse=True)
-    node = node.astype(np.int64)
-    pair = lambda i, j: np.minimum(i, j) * len(names) + np.maximum(i, j)
-    known = pair(np.searchsorted(names, tried["node"].to_numpy()), np.searchsorted(names, tried["other"].to_numpy()))
-    label = np.unique(rows["root"].to_numpy(), return_inverse=True)[1]
-    of_node = np.zeros(len(names), np.int64)
-    of_node[node] = label
-    x_node, y_node = node[x], node[y]
-    left = np.flatnonzero(~np.isin(pair(x_node, y_node), known))
-    left = left[np.unique(pair(x_node[left], y_node[left]), return_index=True)[1]]  # as home and as member
-    taken = []
-    for _ in range(forests):
-        picked = stars(x_node[left], y_node[left], far[left], of_node)
-        if not picked:
+        a, b = np.nonzero(far <= NEAR_BITS)
+        near = far[a, b] + np.bitwise_count(last[h[a]] ^ last[b]) <= NEAR_BITS
+        label = joined(label, place[h[a[near]]], place[b[near]])
+    return _edges(names, label)
+
+
+def link_forest(rows: pd.DataFrame) -> np.ndarray:
+    """``a, b``: edges that join what the links among a group's texts join; in a group of
+    two blocks (``cross``) the links between texts of one (``side`` 0) and of the other."""
+    rows = rows.drop_duplicates("node")  # repeated rows
+    names, side, cross = rows["node"].to_numpy(), rows["side"].to_numpy(), bool(rows["cross"].iloc[0])
+    sets = [np.frombuffer(x, np.uint64) for x in rows["found"]]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(sizes) - sizes
+    _, sign = np.unique(np.concatenate(sets), return_inverse=True)
+    asked, held = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(sets)),) * 2
+    label = np.arange(len(sets))
+    if not len(asked) or not len(held) or not len(sign):
+        return _edges(names, label)
+    # The texts that have each shingle, one shingle after the other.
+    theirs = sign[ragged(starts[held], sizes[held])]
+    many = np.bincount(theirs, minlength=int(sign.max()) + 1)
+    first = np.cumsum(many) - many
+    holders = np.repeat(held, sizes[held]).astype(np.int32)[np.argsort(theirs, kind="stable")]
+    num, den = SIMILARITY
+    for i in asked.tolist():
+        own = sign[starts[i] : starts[i] + sizes[i]]
+        common = np.bincount(holders[ragged(first[own], many[own])], minlength=len(sets))
+        to = np.flatnonzero((common > 0) & (common * den >= (sizes[i] + sizes - common) * num))
+        label = joined(label, np.full(len(to), i), to)
+        if not label.any():  # one class
             break
-        taken.append(left[picked])
-        left = np.delete(left, picked)
-    at = np.concatenate([*taken, np.zeros(0, np.int64)])
-    return _edges(rows, x[at], y[at])
+    return _edges(names, label)
 
 
-def _pairs(rows: DataFrame, work: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    """``cell, a, b`` (a < b) that ``work`` finds in each cell of ``rows``."""
+def _forests(rows: DataFrame, key: str, work: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """``a, b`` that ``work`` finds among the rows of each ``key``."""
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Arrays of cells, not tuples of pairs: a cell may have many.
-        for whole in whole_cells(batches, work):
-            for edges in whole:
-                yield pd.DataFrame(edges, columns=["cell", "a", "b"])
+        for edges in by_key(batches, key, work):
+            yield pd.DataFrame(edges, columns=["a", "b"])
 
-    dealt = rows.repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInPandas(found, "cell long, a long, b long").select("cell", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return rows.repartition(key).sortWithinPartitions(key).mapInPandas(found, "a long, b long")
 
 
-def whole_cells(batches: Iterator[pd.DataFrame], work: Callable[[pd.DataFrame], np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """What ``work`` finds in each cell with a home and another row, by batch. Rows come
-    sorted by cell; a cell may go on in the next batch."""
+def by_key(batches: Iterator[pd.DataFrame], key: str, work: Callable[[pd.DataFrame], np.ndarray]) -> Iterator[np.ndarray]:
+    """What ``work`` finds among the rows of each key that has several, by batch. Rows come
+    sorted by key; a key may go on in the next batches."""
 
-    def done(rows: pd.DataFrame) -> list[np.ndarray]:
-        cell, home = rows["cell"].to_numpy(), rows["home"].to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1), len(cell)]
-        found = [work(rows.iloc[i:j]) for i, j in zip(cuts, cuts[1:]) if j - i > 1 and home[i:j].any()]
-        return [np.concatenate(found)] if found else []
+    def done(parts: list[pd.DataFrame]) -> np.ndarray:
+        rows = pd.concat(parts, ignore_index=True)
+        at = rows[key].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1), len(at)]
+        return np.concatenate([np.zeros((0, 2), np.int64), *(work(rows.iloc[i:j]) for i, j in zip(cuts, cuts[1:]) if j - i > 1)])
 
-    rest = None
+    rest: list[pd.DataFrame] = []
     for batch in batches:
-        batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        if len(batch):
-            last = int(np.searchsorted(batch["cell"].to_numpy(), batch["cell"].iloc[-1]))
-            rest = batch.iloc[last:]
-            yield done(batch.iloc[:last])
-    if rest is not None:
+        if not len(batch):
+            continue
+        at = batch[key].to_numpy()
+        begin = int(np.searchsorted(at, at[-1]))
+        if begin or (rest and rest[-1][key].iloc[-1] != at[0]):
+            yield done([*rest, batch.iloc[:begin]])
+            rest = []
+        rest.append(batch.iloc[begin:])
+    if rest:
         yield done(rest)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those pairs ``a, b`` of nodes whose sets are similar enough."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b"
-    )
-    common = both.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("c"))
-    num, den = SIMILARITY
-    return common.filter(F.col("c") * den >= (F.col("m") + F.col("n") - F.col("c")) * num).select("a", "b")
+def _grouped(nodes: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``node, of, key, root, p``: the nodes that have a candidate, their group and into how
+    many blocks it is cut."""
+    roots = components(candidates)
+    members = written(nodes.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node").select("node", "of", "size", "key", "root"), "members")
+    blocks = F.greatest(F.ceil(F.count("node") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    large = written(members.groupBy("root").agg(blocks.alias("p")).filter("p > 1"), "large_groups")
+    return join_small(members, large, "root", "left", spread="node").select("node", "of", "key", "root", F.coalesce("p", F.lit(1)).alias("p"))
 
 
-def _sets_of(nodes: DataFrame, sketched: DataFrame, given: DataFrame) -> DataFrame:
-    """``node, found``: the sets of ``nodes`` (node, of), each from a row that has it."""
-    owner = written(sketched.join(nodes, "of").groupBy("node", "of").agg(F.min(F.xxhash64("id")).alias("key")), "owners")
+def _linked(grouped: DataFrame, given: DataFrame) -> DataFrame:
+    """Edges ``a, b`` that join what links join. Each node's set is made from a row that
+    has it and goes to all tasks in which its block meets another."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x) for x in batch.column("text").to_pylist()]
             same = [i for i, (x, of) in enumerate(zip(found, batch.column("of").to_pylist())) if set_hash(x) == of]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node").take(pa.array(same, pa.int64())), pa.array([found[i].view(np.int64) for i in same], pa.list_(pa.int64()))], ["node", "found"]
-            )
-
-    texts = join_small(given.select(F.xxhash64("id").alias("key"), "text"), owner, "key", "inner", spread="text").select("node", "of", "text")
-    schema = StructType([StructField("node", LongType()), StructField("found", ArrayType(LongType()))])
-    return written(texts.mapInArrow(sets, schema).dropDuplicates(["node"]), "sets")
-
-
-def _further_links(tried: DataFrame, links: DataFrame, placed: DataFrame, sets: DataFrame) -> DataFrame:
-    """``links`` and all others between candidates: round by round each cell that had a
-    refuted pair tries forests of new pairs between the classes it knows, one, then twice
-    as many each time, until no cell has a pair left to try. A node with a candidate has an
-    edge in ``tried``, so its set is among ``sets``."""
-    asked = written(tried.select("a", "b").distinct(), "asked")
-    refuted = lambda pairs: written(pairs.join(links, ["a", "b"], "left_anti").select("cell").distinct(), "open_cells")
-    cells = refuted(tried)
-    held = written(join_small(placed, cells, "cell", "inner", spread="node"), "open_members")
-    members = held.select("node").distinct()
-    labels = members.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    labels = written(labels, "labels")
-    known, forests = tried, 1
-    while not cells.isEmpty():
-        held = written(join_small(held, cells, "cell", "left_semi", spread="node"), "open_members")  # fewer each round
-        some = held.join(labels, "node").withColumn("other", F.lit(-1).cast("long"))
-        seen = join_small(known, cells, "cell", "left_semi", spread="a").select("cell", F.lit(False).alias("home"), F.col("a").alias("node"), *[F.lit(0).cast("long").alias(c) for c in ("fp", "more", "root")], F.col("b").alias("other"))
-        work = partial(more_forests, forests=forests)
-        new = written(_pairs(some.unionByName(seen), work), "further_pairs")
-        fresh = written(new.select("a", "b").distinct().join(asked, ["a", "b"], "left_anti"), "fresh_pairs")
-        found = written(_linked(fresh, sets), "fresh_links")
-        asked, links = asked.unionByName(fresh), links.unionByName(found)
-        cells, known, forests = refuted(new), known.unionByName(new), 2 * forests
-        # Classes that a new link joins: only these edges are searched for components.
-        of = lambda end: labels.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
-        edges = found.join(of("a"), "a").join(of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        joined = components(edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        labels = written(labels.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
-    return links
+            kept = [batch.column(c).take(pa.array(same, pa.int64())) for c in ("node", "root", "p")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([found[i].tobytes() for i in same], pa.binary())], ["node", "root", "p", "found"])
+
+    texts = join_small(given.select(F.xxhash64("id").alias("key"), "text"), written(grouped, "owners"), "key", "inner", spread="text")
+    rows = texts.select("node", "of", "root", "p", "text").mapInArrow(sets, "node long, root long, p int, found binary")
+    own, other = F.pmod(F.xxhash64("node"), F.col("p")).cast("int"), F.col("other")
+    met = rows.select("node", "root", "found", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("other"))
+    dealt = met.select(
+        F.xxhash64("root", F.least("own", other), F.greatest("own", other)).alias("task"),
+        "node",
+        (F.col("own") > other).cast("int").alias("side"),
+        (F.col("own") != other).alias("cross"),
+        "found",
+    )
+    return _forests(dealt, "task", link_forest)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, component_id`` for every row of ``docs``."""
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = StructType([StructField("id", given.schema["id"].dataType), StructField("of", BinaryType()), StructField("prints", ArrayType(LongType()))])
+    schema = StructType(
+        [StructField("id", given.schema["id"].dataType), StructField("of", BinaryType()), StructField("size", LongType()), StructField("prints", ArrayType(LongType()))]
+    )
     sketched = written(given.mapInArrow(_sketched, schema), "sketches")
-    distinct = sketched.groupBy("of").agg(F.min("id").alias("least_id"), F.first("prints").alias("prints"))
+    distinct = sketched.groupBy("of").agg(
+        F.min("id").alias("least_id"), F.min(F.xxhash64("id")).alias("key"), F.first("size").alias("size"), F.first("prints").alias("prints")
+    )
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct_sets")
-    placed = cell_grid(nodes.select("node", "prints").mapInArrow(_replicas, REPLICA), "node", CELL_HOMES, CELL_MEMBERS)
-    tried = written(_pairs(placed, first_forest), "first_pairs")
-    pairs = tried.select("a", "b").distinct()
-    met = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = _sets_of(nodes.join(met, "node", "left_semi").select("node", "of"), sketched, given)
-    links = written(_linked(pairs, sets), "first_links")
-    roots = components(_further_links(tried, links, placed, sets))
+    candidates = None
+    for of in (range(i, i + LANES // 2) for i in (0, LANES // 2)):  # in two passes, so that half of the replicas are on disk at once
+        replicas = nodes.select("node", "prints").mapInArrow(partial(_replicas, of=of), REPLICA)
+        found = written(_forests(cell_grid(replicas, "node", CELL_HOMES, CELL_MEMBERS), "cell", near_forest).distinct(), "candidates")
+        candidates = found if candidates is None else candidates.unionByName(found)
+    links = written(_linked(_grouped(nodes, candidates), given).distinct(), "links")
+    roots = components(links)
     rooted = nodes.join(roots, "node", "left").select("of", "least_id", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = written(rooted.join(least, "root").select("of", "component_id"), "classes")

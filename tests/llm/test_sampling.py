@@ -110,3 +110,15 @@ def test_encode_and_decode_as_the_library_does(spark):
     rng = np.random.default_rng(0)
     ids = [rng.choice(np.arange(259, sp.get_piece_size()), n).astype("<u2") for n in range(40)]
     assert [x.decode() for x in sps.decoded([x.tobytes() for x in ids], MODEL)] == [sp.decode(x.tolist()) for x in ids]
+
+
+def test_children_are_found_by_hash():
+    import numpy as np
+
+    from variantlake.llm import pieces as p
+
+    own = p.pieces(p.default_model())
+    keys = own.slots[own.slots >= 0]
+    assert (own.find(keys) == own.child[own.slots >= 0]).all() and len(np.unique(own.find(keys))) == len(keys)
+    strange = np.setdiff1d(np.random.default_rng(5).integers(0, 1 << 40, 100_000), keys)
+    assert not own.find(strange).any() and not len(own.find(keys[:0]))

@@ -58,16 +58,48 @@ class Pieces:
                 node = child[key]
             piece[node] = i
         keys = np.fromiter(child, np.int64, len(child))
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
-        self.child = np.append(np.fromiter(child.values(), np.int64, len(child))[order], 0)
+        to = np.fromiter(child.values(), np.int64, len(child))
+        # Keys by hash, in the next free slot; less than a quarter of the slots is taken.
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.slots, self.child = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.slots[slot] < 0)
+            taken, nth = np.unique(slot[free], return_index=True)
+            own = left[free[nth]]
+            self.slots[taken], self.child[taken] = keys[own], to[own]
+            on = np.ones(len(left), bool)
+            on[free[nth]] = False
+            left, slot = left[on], slot[on] + 1 & self.mask
         self.piece = np.array(piece, np.int32)
         self.inner = np.zeros(len(piece), bool)  # is the beginning of a longer one
-        self.inner[self.keys[:-1] >> 21] = True
+        self.inner[keys >> 21] = True
         self.inner[0] = False  # stands for characters that begin no piece
         self.first = np.zeros(0x110000, np.int32)  # children of the root by character
-        at_root = self.keys < 1 << 21
-        self.first[self.keys[at_root]] = self.child[at_root]
+        at_root = keys < 1 << 21
+        self.first[keys[at_root]] = to[at_root]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The children with these keys; 0 where there is none."""
+        slot = self._slot(keys)
+        held = self.slots[slot]
+        hit = held == keys
+        out = np.where(hit, self.child[slot], 0)
+        left = np.flatnonzero(~hit & (held >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = slot + 1 & self.mask
+            held = self.slots[slot]
+            hit = held == keys[left]
+            out[left[hit]] = self.child[slot[hit]]
+            on = ~hit & (held >= 0)
+            left, slot = left[on], slot[on]
+        return out
 
 
 @lru_cache(2)
@@ -115,12 +147,10 @@ class Lattices:
             frm = begin[some]
             found.append((frm, self.offset[away[some] - depth] + word[some], self.count[frm], fits[some]))
             self.count[frm] += 1
-            on = (away > depth) & vocabulary.inner[node]
-            begin, away, word, at, node = begin[on], away[on], word[on], at[on], node[on]
-            key = node << 21 | signs[at + depth]
-            of = np.searchsorted(vocabulary.keys, key)
-            on = vocabulary.keys[of] == key
-            begin, away, word, at, node = begin[on], away[on], word[on], at[on], vocabulary.child[of[on]]
+            on = np.flatnonzero((away > depth) & vocabulary.inner[node])
+            to = vocabulary.find(node[on] << 21 | signs[at[on] + depth])
+            on, node = on[to > 0], to[to > 0]
+            begin, away, word, at = begin[on], away[on], word[on], at[on]
             depth += 1
         self.first = np.cumsum(self.count) - self.count
         edges = int(self.count.sum())

@@ -161,17 +161,18 @@ class WordLattices:
     def draw(self, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A segmentation for each of ``words``, by its seed: edges in order, and how many
         each has. Words are taken in blocks, neighbours in the lattices together."""
-        order = np.argsort(words, kind="stable")
+        order = np.argsort(words)  # a draw depends on its word and seed alone
         sizes = np.zeros(len(words), np.int64)
         taken = []
         with np.errstate(over="ignore"):
             for i in range(0, len(words), BLOCK_DRAWS):
                 at = order[i : i + BLOCK_DRAWS]
                 node, state, nth = self.start[words[at]], seeds[at], 0
+                count = self.count[node]
                 while len(at):
                     state = state + np.uint64(0x9E3779B97F4A7C15)
                     u = (mixed(state) >> np.uint64(11)) * 2.0**-53
-                    e = self.guide[self.first[node] + (u * self.count[node]).astype(np.int64)]
+                    e = self.guide[self.first[node] + (u * count).astype(np.int64)]
                     low = np.flatnonzero(self.upto[e] <= u)
                     while len(low):
                         e[low] += 1
@@ -180,8 +181,9 @@ class WordLattices:
                     sizes[at] += 1
                     nth += 1
                     node = self.to[e]
-                    on = self.count[node] > 0
-                    at, node, state = at[on], node[on], state[on]
+                    count = self.count[node]
+                    on = np.flatnonzero(count)
+                    at, node, state, count = at[on], node[on], state[on], count[on]
         starts = np.cumsum(sizes) - sizes
         edges = np.empty(int(sizes.sum()), np.int32)
         for at, nth, e in taken:
